@@ -1,15 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated word-bigram models, one of the toxic and one of the ordinary training texts, share
-their lowest order: continuation counts pooled over both classes, so an expression that is rare in
-one class backs off to the same estimate in both.  A text is judged by length-normalised
+Two interpolated word-bigram models, one of the toxic and one of the ordinary training texts, back off
+to the same lowest order: continuation counts pooled over both classes, tilted by how much more often
+the class uses words of that beginning.  An expression that is rare in one class so gets the same
+estimate in both, but for what its beginning tells.  A text is judged by length-normalised
 log-likelihood ratios, turned into a probability by logistic regression on rows that the counts have
 not seen: over the whole text at both orders, and over its most toxic window at the lower order, where
 the smaller class does not pay for the word pairs that it never showed.
 
 Counts come from every labelled training row, by grouped aggregation.  Words fall into ``VOCAB``
 buckets and bigrams, when the model is packed, into ``CELLS`` cells, so the broadcast model has a
-fixed size (about 8 MB) whatever the corpus.  The calibration alone uses a bounded sample
+fixed size (about 33 MB) whatever the corpus.  The calibration alone uses a bounded sample
 (``CALIBRATION_ROWS``).
 
 Edge cases: a null text counts as empty; an empty text's score is the calibrated score of a ratio of
@@ -26,17 +27,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._scratch import drop, stored
-from weft.llm._text import MIX_A, U64, WordHashes, pieces, words_of
+from weft.llm._text import CACHE, MIX_A, U64, WordHashes, pieces, words_of
 
-VOCAB = 1 << 16
+VOCAB = 1 << 20
+#: Bytes of a word's beginning, and buckets of them.
+STEM, STEMS = 4, 1 << 15
 CELLS = 1 << 19
 DISCOUNT = 0.75
 WINDOW = 4
-FEATURES = 4
+#: Log-likelihood ratio of a word beyond which it counts as evidence of its own.
+EVIDENT = 2.0
+FEATURES = 5
 #: Words that a task counts before it passes its sums on.
 FLUSH = 2_000_000
 #: Label rows up to which they are broadcast; beyond, documents and labels are joined by a shuffle.
@@ -54,7 +60,9 @@ def fold(doc_id: str = "doc_id") -> Column:
 class Model:
     """Log-probability tables of the toxic (0) and the ordinary (1) class, and the calibration."""
 
-    unigram: np.ndarray  # [2, VOCAB] interpolated with the shared continuation distribution
+    unigram: np.ndarray  # [2, VOCAB] discounted
+    shared: np.ndarray  # [VOCAB] continuation distribution over both classes
+    tilt: np.ndarray  # [2, STEMS] of a word's beginning, with the unigrams' backoff weight
     context: np.ndarray  # [2, VOCAB] total count of a context
     backoff: np.ndarray  # [2, VOCAB] weight of the unigram after a context
     bigram: np.ndarray  # [2, CELLS] discounted counts
@@ -68,23 +76,25 @@ class Model:
 
         ``first`` marks first words, which have no context.
         """
+        ids, stems = ids % VOCAB, ids // VOCAB
         before = np.concatenate([ids[:1], ids[:-1]])
         cell = cell_of(before, ids)
+        single = [self.unigram[c][ids] + self.tilt[c][stems] * self.shared[ids] for c in (0, 1)]
         out = []
         for c in (0, 1):
             total = self.context[c][before]
             seen = (total > 0) & ~first
             bigram = self.bigram[c][cell] / np.maximum(total, 1)
-            p = np.where(seen, bigram + self.backoff[c][before] * self.unigram[c][ids], self.unigram[c][ids])
+            p = np.where(seen, bigram + self.backoff[c][before] * single[c], single[c])
             out.append(np.log(p))
-        return out[0] - out[1], np.log(self.unigram[0] / self.unigram[1])[ids]
+        return out[0] - out[1], np.log(single[0] / single[1])
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Mean ratio at both orders, highest ratio of a window, and the logarithm of the length."""
+        """Mean ratio at both orders, highest ratio of a window, mean excess, logarithm of the length."""
         words = [words_of(t) for t in texts]
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         out = np.zeros((len(texts), FEATURES))
-        out[:, 3] = np.log1p(lengths)
+        out[:, 4] = np.log1p(lengths)
         if not lengths.sum():
             return out
         ids = bucket([w for ws in words for w in ws])
@@ -96,6 +106,8 @@ class Model:
         for k, ratio in enumerate(self.ratios(ids, first)):
             total = np.concatenate([[0.0], np.cumsum(ratio)])
             out[some, k] = (total[ends] - total[starts])[some] / lengths[some]
+        strong = np.concatenate([[0.0], np.cumsum(np.maximum(ratio - EVIDENT, 0))])
+        out[some, 3] = np.sqrt((strong[ends] - strong[starts])[some] / lengths[some])
         owner = np.repeat(np.arange(len(texts)), lengths)
         at = np.arange(len(ids))
         upto = np.minimum(at + WINDOW, ends[owner])
@@ -110,11 +122,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-_HASHES = WordHashes()
+class Buckets(WordHashes):
+    """word -> its bucket and, times VOCAB, the bucket of its beginning."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word) % VOCAB + xxhash.xxh64_intdigest(word[:STEM]) % STEMS * VOCAB
+        return value
+
+
+_BUCKETS = Buckets()
 
 
 def bucket(words: list[bytes]) -> np.ndarray:
-    return (_HASHES.of(words) >> U64(48)).astype(np.int64)
+    return _BUCKETS.of(words).astype(np.int64)
 
 
 def cell_of(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -132,10 +154,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = bucket([w for ws in words for w in ws])
             if not len(ids):
                 continue
-            before = np.concatenate([[-1], ids[:-1]])
+            before = np.concatenate([[-1], ids[:-1] % VOCAB])
             before[(np.cumsum(lengths) - lengths)[lengths > 0]] = -1
             toxic = np.repeat(labels[first : first + len(texts)], lengths)
-            held.append(((1 - toxic) * (VOCAB + 1) + before + 1) * VOCAB + ids)
+            held.append(((1 - toxic) * (VOCAB + 1) + before + 1) * (VOCAB * STEMS) + ids)
             if sum(map(len, held)) >= FLUSH:
                 yield _summed(held)
                 held = []
@@ -145,16 +167,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _summed(keys: list[np.ndarray]) -> pa.RecordBatch:
     key, n = np.unique(np.concatenate(keys), return_counts=True)
-    left = key // VOCAB
-    return pa.RecordBatch.from_arrays([pa.array(left // (VOCAB + 1)), pa.array(left % (VOCAB + 1) - 1), pa.array(key % VOCAB), pa.array(n)], ["c", "v", "w", "n"])
+    left, right = np.divmod(key, VOCAB * STEMS)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (left // (VOCAB + 1), left % (VOCAB + 1) - 1, right % VOCAB, right // VOCAB, n)], ["c", "v", "w", "s", "n"])
 
 
 def counted(train: DataFrame, text: str, label: str) -> Model | None:
     """The uncalibrated model of ``train``; None if a class has no word."""
     pairs = stored(
         train.select(F.col(text), F.col(label).cast("long"))
-        .mapInArrow(_count, "c long, v long, w long, n long")
-        .groupBy("c", "v", "w")
+        .mapInArrow(_count, "c long, v long, w long, s long, n long")
+        .groupBy("c", "v", "w", "s")
         .agg(F.sum("n").alias("n")),
         "kn",
     )
@@ -167,20 +189,26 @@ def counted(train: DataFrame, text: str, label: str) -> Model | None:
     shared = np.zeros(V)  # continuation counts over both classes: distinct words before a word
     w, n = _columns(pairs.groupBy("w", "v").agg(F.lit(1).alias("one")).groupBy("w").agg(F.sum("one")))
     shared[w] = n
+    begun = np.zeros((2, STEMS))
+    c, b, n = _columns(pairs.groupBy("c", "s").agg(F.sum("n")))
+    begun[c, b] = n
     bigram = np.zeros((2, C))
-    packed = pairs.filter("v >= 0").mapInArrow(_pack, "c long, cell long, n double").groupBy("c", "cell").agg(F.sum("n").alias("n"))
+    packed = pairs.filter("v >= 0").groupBy("c", "v", "w").agg(F.sum("n").alias("n")).mapInArrow(_pack, "c long, cell long, n double").groupBy("c", "cell").agg(F.sum("n").alias("n"))
     c, cell, n = _columns(packed)
     bigram[c, cell] = n
     drop(pairs)
     if not unigram.sum(axis=1).all():
         return None
     lowest = (shared + 0.5) / (shared.sum() + 0.5 * V)
-    probability = np.empty((2, V))
+    pooled = begun.sum(axis=0) / begun.sum()
+    probability, tilt = np.empty((2, V)), np.empty((2, STEMS))
     for c in (0, 1):
-        n, kinds = unigram[c].sum(), np.count_nonzero(unigram[c])
-        probability[c] = np.maximum(unigram[c] - DISCOUNT, 0) / n + DISCOUNT * kinds / n * lowest
+        n = unigram[c].sum()
+        probability[c] = np.maximum(unigram[c] - DISCOUNT, 0) / n
+        own = np.maximum(begun[c] - DISCOUNT, 0) / n + DISCOUNT * np.count_nonzero(begun[c]) / n * pooled
+        tilt[c] = np.divide(own, pooled, out=np.ones(STEMS), where=pooled > 0) * DISCOUNT * np.count_nonzero(unigram[c]) / n
     weight = DISCOUNT * types / np.maximum(context, 1)
-    return Model(probability, context, weight, bigram, np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
+    return Model(*(x.astype(np.float32) for x in (probability, lowest, tilt, context, weight, bigram)), np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +231,13 @@ def calibrate(model: Model, rows: DataFrame, text: str, label: str) -> None:
         for batch in batches:
             for first, texts in pieces(batch.column(0).to_pylist()):
                 found = shipped.value.features(texts)
-                yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(FEATURES)), batch.column(1).slice(first, len(texts))], ["a", "b", "c", "d", "y"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(FEATURES)), batch.column(1).slice(first, len(texts))], ["a", "b", "c", "d", "e", "y"])
 
-    got = rows.select(F.col(text), F.col(label).cast("long").alias("y")).mapInArrow(run, "a double, b double, c double, d double, y long").toArrow()
+    got = rows.select(F.col(text), F.col(label).cast("long").alias("y")).mapInArrow(run, "a double, b double, c double, d double, e double, y long").toArrow()
     x = np.stack([got.column(i).to_numpy() for i in range(FEATURES)], axis=1)
     y = got.column(FEATURES).to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
-        model.weights = np.array([0.0, 8.0, 2.0, 0.0, -4.0])
+        model.weights = np.array([0.0, 8.0, 2.0, 4.0, 0.0, -4.0])
         return
     model.centre, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = np.hstack([(x - model.centre) / model.scale, np.ones((len(x), 1))])
@@ -238,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", calibration_rows
     model = counted(labelled(docs, counting, text, n <= BROADCAST_LABELS), "_text", "_toxic") if n else None
     if model is None:
         empty = np.zeros((2, 1))
-        return Model(empty, empty, empty, empty, np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES), constant=float(share or 0.0))
+        return Model(empty, empty, empty, empty, empty, empty, np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES), constant=float(share or 0.0))
     sample = known.filter(F.col("_fold") == CALIBRATING).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).select("doc_id", "_toxic")
     calibrate(model, labelled(docs, sample, text, True), "_text", "_toxic")
     return model
