@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of one row per key is broadcast, and parts that a hot key is split into beyond.
+BROADCAST_ROWS = 100_000
+SALTS = 64
 
 
 def folder(spark: SparkSession) -> str:
@@ -40,3 +45,15 @@ def drop(df: DataFrame) -> None:
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def with_key_table(rows: DataFrame, keyed: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` left-joined with ``keyed`` (one row per key, already stored and so cheap to count).
+
+    Up to ``limit`` keys ``keyed`` is broadcast; beyond, every key is split into ``SALTS`` parts, so that
+    a key with a third of all rows does not land in one task.
+    """
+    if keyed.count() <= limit:
+        return rows.join(F.broadcast(keyed), key, "left")
+    salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")

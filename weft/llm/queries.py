@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import license_scan, toxicity
+from weft.llm import decontaminate, license_scan, line_dedup, mixing, order_minhash, token_counts, toxicity
 from weft.sources.tables import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region of a document that holds a benchmark item."""
+    return decontaminate.matches(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every line, and whether it stays."""
+    return line_dedup.line_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The realised mixture: a row for each copy of a document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "block", "mix_order", "weight")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -17,6 +34,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.fold() == toxicity.HELD_OUT, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, and its number of links."""
+    return order_minhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after the masking of personal data."""
+    counted = token_counts.counted(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return counted.select("doc_id", "n_tokens", "n_tokens_edited", "n_segments", "n_edits", "n_chars_reencoded")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence detections of every document."""
     scanned = license_scan.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -24,8 +52,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
+    "op6_order_minhash": op6_order_minhash,
+    "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_mix_sources": mixing.oracle(),
+}
