@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weft import registry
-from weft.operators import aggregations, joins, projections, sampling, scalars, text, windows  # noqa: F401  importing a module registers its queries
+from weft.operators import aggregations, joins, metrics, projections, sampling, scalars, text, windows  # noqa: F401  importing a module registers its queries
 from weft.plans import flagship as _flagship
 from weft.sources import readers, sinks  # noqa: F401
+from weft.streaming import operators as _streaming  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
