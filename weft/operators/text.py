@@ -28,8 +28,8 @@ ANSWER_PATTERNS = (r"(?i)answer\s*(?:is|:)\s*\(?([A-D](?:\s*,\s*[A-D])*)\)?", r"
 
 def strip_block(text: Column, tag: str = "think") -> Column:
     """A text without its first ``<tag>...</tag>``; '' if the block is not closed."""
-    opened, closed = F.instr(text, f"<{tag}>"), F.instr(text, f"</{tag}>")
-    return F.when(opened == 0, text).when(closed == 0, "").otherwise(F.trim(F.regexp_replace(text, f"(?s)^(.*?)<{tag}>.*?</{tag}>", "$1")))
+    whole = text.rlike(f"(?s)<{tag}>.*?</{tag}>")
+    return F.when(F.instr(text, f"<{tag}>") == 0, text).when(~whole, "").otherwise(F.trim(F.regexp_replace(text, f"(?s)^(.*?)<{tag}>.*?</{tag}>", "$1")))
 
 
 def reasoning_status(text: Column) -> Column:
