@@ -22,3 +22,13 @@ def test_runs_and_repeats(spark, key):
 
 def test_every_query_is_documented_by_a_module():
     assert all(fn.__module__.startswith("weft.") for fn in QUERIES.values())
+
+
+def test_the_entry_point_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

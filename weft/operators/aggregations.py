@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from weft.functions.expr import hash_rank, hash_rank_sql, r6, ratio
 from weft.operators.projections import TIMELINE, document_reasons, timeline
 from weft.registry import query
 from weft.sources.tables import table
 
-ALL = Window.partitionBy()
+
+def whole() -> WindowSpec:
+    """A window over all rows: for results that hold one row per distinct value only."""
+    return Window.partitionBy()
 
 
 def entropy(counts: DataFrame, by: list[str], n: str = "n") -> DataFrame:
@@ -35,8 +38,8 @@ def conditional_entropy(df: DataFrame, x: list[str], y: list[str]) -> DataFrame:
 
 def running(df: DataFrame, order: list[Column], n: str = "n") -> DataFrame:
     """Adds ``rank``, ``upto`` and ``share`` (running count over the total) to one row per distinct key."""
-    w = ALL.orderBy(*order)
-    total = F.sum(n).over(ALL)
+    w = whole().orderBy(*order)
+    total = F.sum(n).over(whole())
     return df.withColumn("rank", F.row_number().over(w)).withColumn("upto", F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("share", F.col("upto") / total).withColumn("total", total)
 
 
@@ -162,7 +165,7 @@ def cond_entropy(spark, sf_dir):
 )
 def head_tail_share(spark, sf_dir):
     counts = part(spark, sf_dir, "p_name").groupBy("p_name").agg(F.count("*").alias("n"))
-    held = running(counts, [F.desc("n"), F.col("p_name")]).withColumn("k", F.count("*").over(ALL))
+    held = running(counts, [F.desc("n"), F.col("p_name")]).withColumn("k", F.count("*").over(whole()))
     top = F.sum(F.when(F.col("rank") <= F.ceil(F.lit(0.1) * F.col("k")), F.col("n"))) / F.max("total")
     return held.agg(r6(top).alias("top_tenth"), F.count(F.when(F.col("n") < 5, 1)).alias("rare"), F.min(F.when(F.col("upto") >= 0.5 * F.col("total"), F.col("rank"))).cast("long").alias("to_half"))
 
@@ -259,7 +262,7 @@ def nonzero_pct(spark, sf_dir):
 @query("topk_share", "SELECT p_name, n, round(n / t, 6) AS share FROM (SELECT p_name, count(*) AS n, sum(count(*)) OVER () AS t FROM part GROUP BY 1) ORDER BY n DESC, p_name LIMIT 10")
 def topk_share(spark, sf_dir):
     counts = part(spark, sf_dir, "p_name").groupBy("p_name").agg(F.count("*").alias("n"))
-    shared = counts.withColumn("share", r6(F.col("n") / F.sum("n").over(ALL)))
+    shared = counts.withColumn("share", r6(F.col("n") / F.sum("n").over(whole())))
     return shared.orderBy(F.desc("n"), "p_name").limit(10)
 
 
@@ -367,7 +370,7 @@ def rollup_family(spark, sf_dir):
     families = {"src0": "core", "src1": "core", "src2": "core", "src3": "extra", "src4": "extra"}
     lookup = F.create_map(*[F.lit(x) for p in families.items() for x in p])
     counts = documents(spark, sf_dir, "source").groupBy(F.coalesce(F.try_element_at(lookup, F.col("source")), F.lit("other")).alias("family")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", r6(F.col("n") / F.sum("n").over(ALL)))
+    return counts.withColumn("share", r6(F.col("n") / F.sum("n").over(whole())))
 
 
 @query("role_pattern", "SELECT pattern, count(*) AS n FROM (SELECT conv_id, string_agg(role, '|' ORDER BY turn) AS pattern FROM conversations GROUP BY 1) GROUP BY 1")
@@ -399,7 +402,7 @@ def prefix_depth(spark, sf_dir):
 @query("share_of_total", "SELECT role, sum(length(text))::BIGINT AS chars, round(sum(length(text)) / (SELECT sum(length(text)) FROM conversations), 6) AS share FROM conversations GROUP BY 1")
 def share_of_total(spark, sf_dir):
     sums = table(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(F.length("text").cast("long")).alias("chars"))
-    return sums.withColumn("share", r6(F.col("chars") / F.sum("chars").over(ALL)))
+    return sums.withColumn("share", r6(F.col("chars") / F.sum("chars").over(whole())))
 
 
 @query("best_text", "SELECT p_brand, max_by(p_name, (length(p_name), -p_partkey)) AS caption FROM part WHERE length(p_name) BETWEEN 8 AND 500 AND NOT starts_with(p_name, '[') GROUP BY 1")

@@ -179,10 +179,10 @@ def safe_cast(spark, sf_dir):
 
 
 @query(
-    "task_classifier",
+    "case_classify",
     r"""SELECT doc_id, CASE WHEN regexp_matches(text, '^\s*\[') THEN 'json_array' WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'license' WHEN regexp_matches(text, '[0-9]{3}') THEN 'numeric' WHEN length(text) < 400 THEN 'short' ELSE 'prose' END AS task FROM documents""",
 )
-def task_classifier(spark, sf_dir):
+def case_classify(spark, sf_dir):
     text = F.col("text")
     rules = [("json_array", text.rlike(r"^\s*\[")), ("license", text.rlike("(?i)licen[cs]e")), ("numeric", text.rlike("[0-9]{3}")), ("short", F.length(text) < 400)]
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", first_rule(rules, "prose").alias("task"))
