@@ -75,7 +75,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", budget: flo
     """``docs``, one row per realised copy, with ``block``, ``mix_order`` and ``weight``.
 
     ``budget`` is in tokens (runs of non-spaces), by default as many as there are.  Sorted by ``mix_order``
-    (0 to 1) the sources are interleaved at their weights.
+    (0 to about 1) the sources are interleaved at their weights.
     """
     kept = [c for c in docs.columns if c not in ADDED]
     slim = stored(docs.select("doc_id", F.coalesce(F.col(source), F.lit("")).alias("_source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_n")), "slim")

@@ -139,11 +139,11 @@ class SegmentTree:
                 new = "".join(out) + tail
                 left = parts[-1][-1:] if parts else ""
                 right = self.parts[i][:2] if i < n else ""
-                if i < n and not (new and _SAFE.search(new[-1:] + right, 1, 2)):
+                if i < n and not (new and _SAFE.match(new[-1:] + right, 1)):
                     region += self.parts[i]  # boundary context: what follows no longer starts at a safe place
                     high += len(self.parts[i])
                     i += 1
-                elif parts and new and not _SAFE.search(left + new[:2], 1, 2):
+                elif parts and new and not _SAFE.match(left + new[:2], 1):
                     region, low, first = parts[-1] + region, low - len(parts[-1]), first - 1
                     out.insert(0, parts.pop())
                     counts.pop()
