@@ -144,9 +144,10 @@ class SegmentTree:
                     high += len(self.parts[i])
                     i += 1
                 elif parts and new and not _SAFE.match(left + new[:2], 1):
-                    region, low, first = parts[-1] + region, low - len(parts[-1]), first - 1
+                    first -= 1  # what stands before, as it is by now, joins the region
                     out.insert(0, parts.pop())
                     counts.pop()
+                    changed.pop(len(parts), None)
                 else:
                     break
             begin = 0
@@ -157,7 +158,7 @@ class SegmentTree:
             self.encoded += len(new)
             if len(fresh) == i - first:
                 changed.update({len(parts) + j: self.count(p) for j, p in enumerate(fresh)})
-                counts += leaves[first:i]
+                counts += [0] * len(fresh)
             else:
                 reshaped = True
                 counts += [self.count(p) for p in fresh]
