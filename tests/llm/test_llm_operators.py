@@ -326,6 +326,8 @@ def test_similarity_is_the_aligned_share():
     assert order_minhash.similarity(a, a[::-1].copy()) == 0.0
     assert order_minhash.similarity(a, np.concatenate([a[30:], a[:30]]), least=0.8) == 0.0  # a moved half is no copy
     assert order_minhash.similarity(a[:0], a[:0]) == 1.0
+    phrase = np.tile(a[:2], 400)
+    assert order_minhash.similarity(np.concatenate([a[2:30], phrase]), np.concatenate([a[30:58], phrase]), least=0.05) < 0.2
     assert order_minhash.similarity(a[:3], a[:4]) == 0.0
 
 
