@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._text import MIX_A, U64, mix, words_of
+from weft.llm._text import MIX_A, U64, words_of
 
 Q = 12
 ERRORS = 0.05
