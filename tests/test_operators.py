@@ -1,10 +1,13 @@
 """Golden rows and edge cases of operators that SQL does not cover."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import difference
+from weft.catalogue import oracles, queries
 from weft.functions import expr
 from weft.operators import metrics, projections, sampling, scalars, text, windows
 from weft.sources import readers, sinks
@@ -208,3 +211,23 @@ def test_append_resumes(spark, tmp_path):
         streaming.append_to(streaming.stream_of(spark, str(tmp_path / "in"), rows.schema, 100), out, mark).awaitTermination()
     assert spark.read.parquet(out).count() == 30
     assert streaming.resume(spark.range(25).withColumnRenamed("id", "k"), spark.read.parquet(out), "k").count() == 5
+
+
+def test_similar_pairs_read_every_part(spark, tmp_path):
+    """Brute force over parts of any number, and on the given tables the SQL's rows where it has them."""
+    rng = random.Random(23)
+    names = [" ".join(rng.choice(("almond", "azure", "linen", "puff", "rose", "tomato")) for _ in range(3)) for _ in range(40)]
+    rows = [(i * 37, rng.choice(names), rng.choice(("SMALL TIN", "LARGE TIN", "PROMO BRASS"))) for i in range(1, 90)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    first = {}
+    for i, name, kind in rows:
+        first.setdefault(f"{name} {kind.lower()}", i)
+    for key, n, least in (("leak_near", 5, 0.5), ("near_dup", 3, 0.6)):
+        sets = {i: {t[j : j + n] for j in range(len(t) - n + 1)} for t, i in first.items()}
+        want = {(i, j): round(len(x & y) / len(x | y), 6) for i, x in sets.items() for j, y in sets.items() if i < j and len(x & y) / len(x | y) >= least}
+        got = {(r.id, r.jd): r.sim for r in queries()[f"{key}_all"](spark, str(tmp_path)).collect()}
+        assert got == want
+        assert any(i >= 300 for i, _ in want)
+        whole = queries()[f"{key}_all"](spark, "/root/testdata/sf0.01")
+        assert difference(whole.filter("jd < 300"), oracles()[key], "/root/testdata/sf0.01") == ""
+        assert whole.filter("jd >= 300").count() > 0

@@ -370,8 +370,12 @@ def _sim_sql(n: int, least: float) -> str:
     return f"WITH t AS ({_PN}), s AS (SELECT t, min(p_partkey) AS id, {_GRAMS.format(n=n)} AS g FROM t GROUP BY t) SELECT a.id, b.id AS jd, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS sim FROM s a JOIN s b ON a.id < b.id WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= {least}"
 
 
+def _all_names(spark, sf_dir):
+    return part(spark, sf_dir).select("p_partkey", F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("t"))
+
+
 def _names(spark, sf_dir):
-    return part(spark, sf_dir).filter("p_partkey < 300").select("p_partkey", F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("t"))
+    return _all_names(spark, sf_dir).filter("p_partkey < 300")  # as in the SQL
 
 
 @query("leak_near", _sim_sql(5, 0.5))
@@ -384,6 +388,18 @@ def near_dup(spark, sf_dir):
     return similar_pairs(_names(spark, sf_dir), "p_partkey", "t", 3, 0.6)
 
 
+@query("leak_near_all")
+def leak_near_all(spark, sf_dir):
+    """``leak_near`` over every part; its all-pairs SQL is too slow for that."""
+    return similar_pairs(_all_names(spark, sf_dir), "p_partkey", "t", 5, 0.5)
+
+
+@query("near_dup_all")
+def near_dup_all(spark, sf_dir):
+    """``near_dup`` over every part; its all-pairs SQL is too slow for that."""
+    return similar_pairs(_all_names(spark, sf_dir), "p_partkey", "t", 3, 0.6)
+
+
 @query("adjudicate", f"WITH c AS (SELECT doc_id, md5(text) AS k FROM documents), a AS (SELECT doc_id, {hash_rank_sql('a', 'doc_id')} % 10 AS ca, quality AS qa FROM labels), b AS (SELECT doc_id, {hash_rank_sql('b', 'doc_id')} % 10 AS cb, CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END AS qb FROM labels) SELECT k, min(doc_id) AS doc_id, min(qa) AS answer FROM c JOIN a USING (doc_id) JOIN b USING (doc_id) WHERE ca >= 2 AND cb >= 2 AND qa = qb GROUP BY 1")
 def adjudicate(spark, sf_dir):
     """Rows on which two reviewers agree with enough confidence, one per meaning."""
