@@ -314,6 +314,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_sketches_agree_where_one_text_alone_repeats_a_run():
+    rng = random.Random(19)
+    for n in (60, 120, 300):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        plain, doubled = (order_minhash._HASHES.of([w.encode() for w in x]) for x in (words, words + words[:6]))
+        assert order_minhash.similarity(plain, doubled) >= 0.8
+        assert len(np.intersect1d(*(order_minhash.sketch(order_minhash.kmers(h)) for h in (plain, doubled)))) >= 4
+
+
 def test_similarity_is_the_aligned_share():
     h = order_minhash._HASHES.of
     a = h([w.encode() for w in WORDS[:60]])
