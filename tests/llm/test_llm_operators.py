@@ -314,6 +314,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_candidates_settle_large_buckets(spark):
+    keys = spark.createDataFrame([(k, i) for k in range(3) for i in range(k * 100, k * 100 + 40)], "key long, id long")
+    rows = candidates.buckets(keys)
+    verify = lambda pairs: candidates.stored(pairs.filter("b - a = 1 and (a < 200 or a % 2 = 0)"))
+    led = {r.id for r in components.components(verify(candidates.paired(rows))).collect()}
+    _, roots = candidates.settle(rows, candidates.paired(rows), verify, lambda ids: ids.withColumn("size", F.lit(1)), 0.8)
+    want = {i: i // 100 * 100 if i < 200 else i - 1 for k in range(3) for i in range(k * 100 + 1, k * 100 + 40) if i < 200 or i % 2}
+    assert {r.id: r.root for r in roots.collect()} == want
+    assert len(led) < len(want)  # links to leaders alone leave classes apart
+
+
 def test_sketches_agree_where_one_text_alone_repeats_a_run():
     rng = random.Random(19)
     for n in (60, 120, 300):

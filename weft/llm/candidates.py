@@ -6,21 +6,28 @@ which is mostly one family of copies around an original, takes as leaders the id
 buckets with others (the original agrees with more copies than the copies do among themselves), one
 leader from each of ``LEADERS`` hash classes, and pairs every id with every leader.  Leaders come from
 grouped maxima that are combined before the shuffle, so that no bucket is gathered in one task.
+
+The links to leaders leave most large buckets in one component.  Of the others, every pair of ids in
+different components is a candidate too, but for pairs whose sizes alone exclude a link (``settle``): two
+ids that share a bucket and are linked always end in one component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._scratch import stored
+from weft.llm._scratch import drop, stored
+from weft.llm.components import components
 
 SMALL = 12
 LEADERS = 4
+#: Ids of a large bucket that one part of the join of its unsettled pairs holds.
+BLOCK = 256
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +66,16 @@ def shared_keys(keys: DataFrame, parts: int | None = None) -> DataFrame:
 
 def candidate_pairs(keys: DataFrame, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
     """Distinct ``(a, b)``, a < b."""
-    rows = stored(shared_keys(keys), "buckets")
+    return paired(buckets(keys), small, leaders)
+
+
+def buckets(keys: DataFrame) -> DataFrame:
+    """``shared_keys``, stored."""
+    return stored(shared_keys(keys), "buckets")
+
+
+def paired(rows: DataFrame, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
+    """The candidate pairs of ``buckets``."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     weight = rows.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight"))
     few = rows.join(sizes.filter(F.col("n") <= small), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -71,3 +87,40 @@ def candidate_pairs(keys: DataFrame, small: int = SMALL, leaders: int = LEADERS)
     across = many.join(heads, "key").select("id", F.explode("heads").alias("head")).filter("id != head")
     across = across.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
     return within.unionAll(across).distinct()
+
+
+def unsettled(rows: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
+    """``(key, id, root, n)`` of the large buckets whose ids are in several components."""
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > small)
+    of = rows.join(large.select("key"), "key").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = of.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    return of.join(mixed.select("key", "n"), "key")
+
+
+def rest(left: DataFrame, sizes: DataFrame, done: DataFrame, least: float) -> DataFrame:
+    """Distinct ``(a, b)``, a < b, of ``unsettled`` rows in different components that ``done`` lacks.
+
+    A bucket's pairs are dealt out by blocks of one side.  A similarity of ``least`` needs sizes of that ratio.
+    """
+    sized = left.join(sizes, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    a = sized.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    b = sized.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    pairs = a.join(b.hint("merge"), ["key", "block"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9))
+    return pairs.select("a", "b").distinct().join(done.hint("merge"), ["a", "b"], "left_anti")
+
+
+def settle(rows: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], sizes: Callable[[DataFrame], DataFrame], least: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links and ``components`` of ``buckets`` and their ``paired``.
+
+    ``verify`` keeps and stores the links of a table of pairs; ``sizes`` gives ``(id, size)`` of a table of ids.
+    """
+    links = verify(pairs)
+    roots = components(links.select("a", "b"))
+    left = stored(unsettled(rows, roots), "unsettled")
+    if not left.isEmpty():
+        more = stored(rest(left, sizes(left.select("id").distinct()), pairs, least), "rest")
+        found = verify(more)
+        drop(more)
+        roots, links = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(found.select("a", "b"))), links.unionAll(found)
+    drop(left)
+    return links, roots
