@@ -397,6 +397,12 @@ def test_quality_held_out(spark):
     assert np.mean([scored[r.doc_id].predicted == r.quality for r in held]) > 0.96
 
 
+def test_the_most_frequent_word_is_of_the_whole_text():
+    opening = [f"w{i}" for i in range(10)]
+    for n in (300, 3000):
+        assert quality.text_view(" ".join(opening + ["spam"] * n))[6] == pytest.approx(n / (n + 10))
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(i, ("junk " * 30) if i % 2 else f"a fine text number {i} with many words.", None if i % 5 == 0 else "en", f"s{i % 3}", None if i % 7 == 0 else 100) for i in range(80)] + [(200, None, None, None, None), (None, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("predicted", F.lit(5))
     labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(80)], "doc_id long, quality int")

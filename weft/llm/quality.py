@@ -20,6 +20,7 @@ columns of the same names.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +48,8 @@ def text_view(text: str | None) -> list[float]:
     words, n = words_of(text), len(text)
     if not words:
         return [0.0] * TEXT_FEATURES
-    m, kinds = len(words), len(set(words))
+    counts = Counter(words)
+    m, kinds = len(words), len(counts)
     lines = [x for x in text.split("\n") if x.strip()]
     raw = text.split()
     data = text.encode("utf-8", "replace")
@@ -58,7 +60,7 @@ def text_view(text: str | None) -> list[float]:
     stops = len(data) - len(data.translate(None, _STOPS))
     longest = max(map(len, words))
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    top = max(map(words.count, words[:8])) if m < 2000 else 0
+    top = max(counts.values())
     pairs = len(set(zip(words, words[1:], strict=False)))
     return [
         math.log1p(m), letters / m, kinds / m, math.log(kinds + 1) / math.log(m + 1.01), again / m, pairs / max(1, m - 1), top / m,
