@@ -200,6 +200,10 @@ def test_neighbours_recall(spark):
     assert sorted(map(tuple, blocks.collect())) == sorted((q, n, i, s) for q in got for n, (i, s) in enumerate(got[q], 1))
 
 
+def test_every_oracle_is_sql():
+    assert all(isinstance(sql, str) for sql in queries.ORACLES.values())
+
+
 def test_neighbour_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, -1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (1, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))

@@ -85,6 +85,5 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op3_neighbours": op3_neighbours,
     "op4_mix_sources": mixing.oracle(),
 }
