@@ -49,6 +49,10 @@ def test_ordered_matching():
     assert metrics.align(["a", "b"], ["b", "a"], metrics.word_f1) in ([(0, 1)], [(1, 0)])
     assert metrics.align(["a", "b", "c"], ["a", "x", "b", "c"], metrics.word_f1) == [(0, 0), (1, 2), (2, 3)]
     assert metrics.align([], ["a"], metrics.word_f1) == []
+    assert metrics.align(["a"], ["a", "a"], metrics.word_f1) == [(0, 0)]  # the earliest of equal partners
+    assert metrics.align(["a", "a"], ["a"], metrics.word_f1) == [(0, 0)]
+    assert metrics.align(["a", "a"], ["a", "a", "a"], metrics.word_f1) == [(0, 0), (1, 1)]
+    assert metrics.align(["x", "a", "a", "a"], ["a", "y"], metrics.word_f1) == [(1, 0)]
 
 
 def test_pass_at_k_ignores_zero(spark):
@@ -225,9 +229,9 @@ def test_similar_pairs_read_every_part(spark, tmp_path):
     for key, n, least in (("leak_near", 5, 0.5), ("near_dup", 3, 0.6)):
         sets = {i: {t[j : j + n] for j in range(len(t) - n + 1)} for t, i in first.items()}
         want = {(i, j): round(len(x & y) / len(x | y), 6) for i, x in sets.items() for j, y in sets.items() if i < j and len(x & y) / len(x | y) >= least}
-        got = {(r.id, r.jd): r.sim for r in queries()[f"{key}_all"](spark, str(tmp_path)).collect()}
+        got = {(r.id, r.jd): r.sim for r in queries()[key](spark, str(tmp_path)).collect()}
         assert got == want
         assert any(i >= 300 for i, _ in want)
-        whole = queries()[f"{key}_all"](spark, "/root/testdata/sf0.01")
-        assert difference(whole.filter("jd < 300"), oracles()[key], "/root/testdata/sf0.01") == ""
+        whole = queries()[key](spark, "/root/testdata/sf0.01")
+        assert difference(whole, oracles()[key], "/root/testdata/sf0.01") == ""
         assert whole.filter("jd >= 300").count() > 0

@@ -152,9 +152,10 @@ def reservoir_per_key(spark, sf_dir):
     return per_group(table(spark, sf_dir, "events", "user_id", "event_id"), ["user_id"], [hash_rank("res", "event_id"), F.col("event_id")], 3)
 
 
-@query("sample_frac")
+@query("sample_frac", f"SELECT doc_id FROM documents WHERE {hash_rank_sql('frac', 'doc_id')} < {(1 << 60) // 10}")
 def sample_frac(spark, sf_dir):
-    return docs(spark, sf_dir, "doc_id").sample(0.1, seed=7)
+    """Each row on its own with probability 0.1, as the tenth of lowest hash ranks: the same rows whatever the partitioning."""
+    return docs(spark, sf_dir, "doc_id").filter(hash_rank("frac", "doc_id") < (1 << 60) // 10)
 
 
 @query("weighted_sample", f"SELECT p_partkey, round(-ln(({hash_rank_sql('ws', 'p_partkey')} + 1.0) / 1152921504606846977.0) / p_size, 6) AS k FROM part ORDER BY k, p_partkey LIMIT 30")

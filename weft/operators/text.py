@@ -270,12 +270,12 @@ def regex_tokens(spark, sf_dir):
     return found.select("p_partkey", F.size("t").cast("long").alias("n"), F.col("t")[0][3].alias("c1"), F.col("t")[1][1].alias("a2"))
 
 
-_THINK = "CASE turn % 4 WHEN 0 THEN '<think>' || substr(text, 1, 20) || '</think> ' || role WHEN 1 THEN '<think>' || role WHEN 2 THEN 'pre <think>a</think> b <think>c</think>' ELSE substr(text, 1, 30) END"
+_THINK = "CASE turn % 4 WHEN 0 THEN '<think>' || text || '</think> ' || role WHEN 1 THEN '<think>' || role WHEN 2 THEN 'pre <think>a</think> b <think>c</think>' ELSE text END"
 
 
 def think_text() -> Column:
     m = F.col("turn") % 4
-    return F.when(m == 0, F.concat(F.lit("<think>"), F.substring("text", 1, 20), F.lit("</think> "), F.col("role"))).when(m == 1, F.concat(F.lit("<think>"), F.col("role"))).when(m == 2, "pre <think>a</think> b <think>c</think>").otherwise(F.substring("text", 1, 30))
+    return F.when(m == 0, F.concat(F.lit("<think>"), F.col("text"), F.lit("</think> "), F.col("role"))).when(m == 1, F.concat(F.lit("<think>"), F.col("role"))).when(m == 2, "pre <think>a</think> b <think>c</think>").otherwise(F.col("text"))
 
 
 @query("strip_block", f"WITH x AS (SELECT conv_id, turn, {_THINK} AS t FROM conversations) SELECT conv_id, turn, CASE WHEN strpos(t, '<think>') = 0 THEN t WHEN strpos(t, '</think>') = 0 THEN '' ELSE trim(regexp_replace(t, '(?s)^(.*?)<think>.*?</think>', '\\1')) END AS stripped FROM x")
@@ -461,7 +461,7 @@ def keywords_query(spark, sf_dir):
 
 @query("content_text")
 def content_text_query(spark, sf_dir):
-    parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("role").alias("text")), F.struct(F.lit("text").alias("type"), F.substring("text", 1, 20).alias("text"))))
+    parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("role").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
     return turns(spark, sf_dir).select("conv_id", "turn", content_text(parts).alias("text"))
 
 
