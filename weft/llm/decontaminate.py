@@ -4,12 +4,17 @@ A benchmark item of m characters (normalised: lower-case words joined by single
 text with at most k edits only if item and text share at least ``m + 1 - q (k + 1)`` q-grams whose
 diagonals (place in the text minus place in the item) differ by k at most.  q-gram hits are counted in
 overlapping diagonal bands of width 2 (k + 1), one starting every k + 1 diagonals, so that one band
-holds them all; bands that meet the bound are verified by an alignment that is banded to the
+holds them all; runs of bands that meet the bound are verified by an alignment that is banded to the
 diagonals in question.  ``k = ERRORS * m``, fewer where an item is so short that the bound would be less
 than 1; an item shorter than q must occur exactly, as whole words.
 
-The benchmark is worked on in blocks of ``BLOCK`` characters, each one narrow pass over the documents
-with an index of bounded size; a benchmark of usual size is one block.  No shuffle of documents.
+q-grams that many items share (a common opening, say) are left out of the index, the commonest first: an
+item that leaves r of its q-grams out must share r fewer, so nothing is lost while the bound stays at 1 or
+more.  Equal items are one item of the index.
+
+The benchmark is worked on in blocks of ``BLOCK`` characters, one after the other, each one narrow pass
+over the documents with an index of bounded size; a benchmark of usual size is one block.  No shuffle of
+documents.
 
 Edge cases: null and empty texts, and texts without a word, match nothing; items without a word match
 nothing; equal items all match; repeated rows match each; texts are scanned whole; with an empty
@@ -22,20 +27,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._scratch import drop, stored
 from weft.llm._text import MIX_A, U64, words_of
 
 Q = 12
 ERRORS = 0.05
+#: Items beyond which a q-gram is common.
+COMMON = 8
 #: Characters of benchmark in one index, and bits of its prefilter's table.
 BLOCK = 4_000_000
 BITS = 24
-#: Characters of documents that are searched at once.
+#: Characters of documents that are searched at once, and hits that are counted at once.
 SEARCHED = 1 << 20
+HITS = 1 << 22
+#: Bands of a run that one alignment takes.
+RUN = 3
 
 
 def normal(text: str | None) -> bytes:
@@ -57,11 +69,24 @@ def gram_hashes(text: np.ndarray, q: int = Q) -> np.ndarray:
     return out
 
 
+def left_out(gram: np.ndarray, item: np.ndarray, bound: np.ndarray, common: int = COMMON) -> np.ndarray:
+    """Which postings to leave out: those of common grams, the commonest of an item first, while its bound stays at 1."""
+    if not len(gram):
+        return np.zeros(0, bool)
+    _, at = np.unique(gram, return_inverse=True)
+    owners = np.bincount(np.unique(np.stack([at, item]), axis=1)[0])[at]  # items that have the gram
+    order = np.lexsort((-owners, item))
+    place = np.empty(len(gram), np.int64)  # of a posting among its item's, the commonest first
+    firsts = np.searchsorted(item[order], np.arange(len(bound)))
+    place[order] = np.arange(len(gram)) - firsts[item[order]]
+    return (owners > common) & (place < bound[item] - 1)
+
+
 @dataclass
 class Index:
     """The q-grams of a block of items."""
 
-    ids: list[int]
+    ids: list[list[int]]  # of each distinct item
     items: list[bytes]
     edits: np.ndarray
     bound: np.ndarray
@@ -70,10 +95,14 @@ class Index:
     item: np.ndarray  # postings: the item and the place in it
     place: np.ndarray
     table: np.ndarray  # whether any gram has these leading bits
-    short: list[int]  # items below q characters
+    short: ahocorasick.Automaton | None  # items below q characters, between spaces
 
     @classmethod
     def of(cls, ids: list[int], items: list[bytes], q: int = Q, errors: float = ERRORS) -> Index:
+        of_item: dict[bytes, list[int]] = {}
+        for i, x in zip(ids, items, strict=True):
+            of_item.setdefault(x, []).append(i)
+        items = list(of_item)
         length = np.array([len(x) for x in items], np.int64)
         edits = np.minimum((errors * length).astype(np.int64), np.maximum((length - q) // q, 0))
         bound = length + 1 - q * (edits + 1)
@@ -81,51 +110,77 @@ class Index:
         every = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
         place = np.concatenate([*[np.arange(len(h)) for h in hashes], np.zeros(0, np.int64)]).astype(np.int64)
+        out = left_out(every, item, bound)
+        bound = bound - np.bincount(item[out], minlength=len(items))
+        every, item, place = every[~out], item[~out], place[~out]
         order = np.argsort(every, kind="stable")
         grams, first = np.unique(every[order], return_index=True)
         table = np.zeros(1 << BITS, bool)
         table[(every >> U64(64 - BITS)).astype(np.int64)] = True
-        return cls(ids, items, edits, bound, grams, np.append(first, len(every)), item[order], place[order], table, [i for i, x in enumerate(items) if 0 < len(x) < q])
+        short = ahocorasick.Automaton()
+        for i, x in enumerate(items):
+            if 0 < len(x) < q:
+                short.add_word(f" {x.decode('latin-1')} ", (i, len(x)))
+        short.make_automaton()
+        return cls(list(of_item.values()), items, edits, bound, grams, np.append(first, len(every)), item[order], place[order], table, short if len(short) else None)
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of the verified regions, best first where regions overlap."""
         found = []
         joined = b"\n".join(texts)  # no q-gram of an item holds a newline
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        hashes = gram_hashes(np.frombuffer(joined, np.uint8))
-        at = np.flatnonzero(self.table[(hashes >> U64(64 - BITS)).astype(np.int64)])
-        if len(at) and len(self.grams):
-            which = np.searchsorted(self.grams, hashes[at])
-            which[which == len(self.grams)] = 0
-            true = self.grams[which] == hashes[at]
-            at, which = at[true], which[true]
-            n = self.first[which + 1] - self.first[which]
-            posting = np.repeat(self.first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            item, diagonal = self.item[posting], np.repeat(at, n) - self.place[posting]
-            width = self.edits[item] + 1
-            floor = len(joined) + 1
-            band = (diagonal + floor) // width  # a band takes two of these steps: this one and the one before
-            both = np.concatenate([item * (4 * floor) + band, item * (4 * floor) + band - 1])
-            key, count = np.unique(both, return_counts=True)
-            which_item = key // (4 * floor)
-            met = count >= self.bound[which_item]
-            for i, step in zip(which_item[met].tolist(), (key[met] % (4 * floor)).tolist(), strict=True):
-                k = int(self.edits[i])
-                low = step * (k + 1) - floor  # least diagonal of the band
-                t = int(np.searchsorted(starts, max(low + k, 0), side="right")) - 1
-                for t in {t, int(np.searchsorted(starts, max(low + k + len(self.items[i]) // 2, 0), side="right")) - 1}:
-                    if 0 <= t < len(texts):
-                        hit = aligned(self.items[i], texts[t], low - int(starts[t]), 2 * (k + 1), k)
-                        if hit:
-                            found.append((t, i, *hit))
-        for i in self.short:
-            word = b" " + self.items[i] + b" "
+        for i, low, width in self._bands(joined):
+            k, half = int(self.edits[i]), len(self.items[i]) // 2
+            middle = low + width // 2
+            for t in {int(np.searchsorted(starts, max(x, 0), side="right")) - 1 for x in (low + k, middle, middle + half)}:
+                if 0 <= t < len(texts):
+                    hit = aligned(self.items[i], texts[t], low - int(starts[t]), width, k)
+                    if hit:
+                        found.append((t, i, *hit))
+        if self.short is not None:
             for t, text in enumerate(texts):
-                spaced, p = b" " + text + b" ", -1
-                while (p := spaced.find(word, p + 1)) >= 0:
-                    found.append((t, i, p, p + len(word) - 2, 0))
+                for end, (i, n) in self.short.iter(f" {text.decode('latin-1')} "):
+                    found.append((t, i, end - n - 1, end - 1, 0))
         return _separate(found)
 
+    def _bands(self, joined: bytes) -> Iterator[tuple[int, int, int]]:
+        """(item, least diagonal, diagonals) of the runs of bands that meet the bound."""
+        hashes = gram_hashes(np.frombuffer(joined, np.uint8))
+        at = np.flatnonzero(self.table[(hashes >> U64(64 - BITS)).astype(np.int64)])
+        if not len(at) or not len(self.grams):
+            return
+        which = np.searchsorted(self.grams, hashes[at])
+        which[which == len(self.grams)] = 0
+        true = self.grams[which] == hashes[at]
+        at, which = at[true], which[true]
+        n = self.first[which + 1] - self.first[which]
+        upto, floor = np.cumsum(n), len(joined) + 1
+        keys, counts = [], []
+        begin = 0
+        while begin < len(at):  # so many hits at once that their postings stay bounded
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, side="right")))
+            m = n[begin:end]
+            posting = np.repeat(self.first[which[begin:end]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            item, diagonal = self.item[posting], np.repeat(at[begin:end], m) - self.place[posting]
+            band = (diagonal + floor) // (self.edits[item] + 1)  # a band takes two of these steps: this one and the one before
+            key, count = np.unique(np.concatenate([item * (4 * floor) + band, item * (4 * floor) + band - 1]), return_counts=True)
+            keys.append(key)
+            counts.append(count)
+            begin = end
+        if not keys:
+            return
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(place, np.concatenate(counts))
+        met = key[count >= self.bound[key // (4 * floor)]]
+        if not len(met):
+            return
+        breaks = np.flatnonzero(np.diff(met, prepend=met[0] - 2) != 1)
+        for i, j in zip(breaks, np.append(breaks[1:], len(met)), strict=True):
+            for first in range(i, j, RUN):
+                item, step = divmod(int(met[first]), 4 * floor)
+                wide = int(self.edits[item]) + 1
+                yield item, step * wide - floor, (min(first + RUN, j) - first + 1) * wide
+
 
 def aligned(item: bytes, text: bytes, low: int, width: int, k: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best occurrence with at most k edits that starts on a diagonal in
@@ -152,9 +207,9 @@ def aligned(item: bytes, text: bytes, low: int, width: int, k: int) -> tuple[int
     origin = np.arange(cols)
     for i in range(m):
         sub = cost + (padded[i : i + cols] != item[i])
-        drop = np.append(cost[1:], far) + 1
-        best = np.minimum(sub, drop)
-        source_of = np.where(sub <= drop, origin, np.append(origin[1:], cols))
+        skip = np.append(cost[1:], far) + 1
+        best = np.minimum(sub, skip)
+        source_of = np.where(sub <= skip, origin, np.append(origin[1:], cols))
         best = np.where(inside[i + 1 : i + 1 + cols], best, far)
         chain = np.minimum.accumulate(best - ramp)  # insertions run along a row
         cost = chain + ramp
@@ -182,42 +237,45 @@ def _separate(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, in
 SCHEMA = "doc_id long, item_id long, start long, stop long, first_word long, edits long, passage string"
 
 
+def _runs(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, normalised texts) in runs of about ``SEARCHED`` characters."""
+    run: list[bytes] = []
+    begin = size = 0
+    for j, text in enumerate(texts):
+        if run and size + len(text or "") > SEARCHED:
+            yield begin, run
+            run, begin, size = [], j, 0
+        run.append(normal(text))
+        size += len(run[-1])
+    if run:
+        yield begin, run
+
+
 def _finder(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            run_of: list[bytes] = []
-            begin = size = 0
-            texts = batch.column(1).to_pylist()
-            for j in range(len(texts) + 1):
-                if j == len(texts) or (run_of and size + len(texts[j] or "") > SEARCHED):
-                    for t, i, start, stop, edits in index.value.search(run_of):
-                        rows.append((ids[begin + t], index.value.ids[i], start, stop, run_of[t].count(b" ", 0, start), edits, run_of[t][start:stop].decode("utf-8", "replace")))
-                    run_of, begin, size = [], j, 0
-                if j < len(texts):
-                    run_of.append(normal(texts[j]))
-                    size += len(run_of[-1])
+            for begin, texts in _runs(batch.column(1).to_pylist()):
+                for t, i, start, stop, edits in index.value.search(texts):
+                    where = (start, stop, texts[t].count(b" ", 0, start), edits, texts[t][start:stop].decode("utf-8", "replace"))
+                    rows += [(ids[begin + t], one, *where) for one in index.value.ids[i]]
             kinds = [pa.int64()] * 6 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
 
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per region of a document that holds a benchmark item within its edit budget.
+def _leaking(index, text: str) -> Column:
+    @F.arrow_udf("boolean")
+    def leaks(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), bool)
+        for begin, run in _runs(texts.to_pylist()):
+            for t, *_ in index.value.search(run):
+                out[begin + t] = True
+        return pa.array(out)
 
-    ``start`` and ``stop`` are byte places in the normalised text, ``first_word`` the number of the word
-    there.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col(text))
-    out = None
-    for ids, items in _blocks(benchmark, block):
-        index = spark.sparkContext.broadcast(Index.of(ids, items))
-        part = rows.mapInArrow(_finder(index), SCHEMA)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    return leaks(F.col(text))
 
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -239,26 +297,42 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[tuple[list[int], list[
         yield ids, items
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; order and other columns as they are."""
-    sc = docs.sparkSession.sparkContext
-    shipped = [sc.broadcast(Index.of(ids, items)) for ids, items in _blocks(benchmark, BLOCK)]
+def _indexes(benchmark: DataFrame, block: int) -> Iterator[tuple[object, bool]]:
+    """Each block's broadcast index, and whether another follows; it is dropped before the next is built."""
+    left = _blocks(benchmark, block)
+    now = next(left, None)
+    while now is not None:
+        then = next(left, None)
+        index = benchmark.sparkSession.sparkContext.broadcast(Index.of(*now))
+        yield index, then is not None
+        if then is not None:
+            index.destroy()
+        now = then
 
-    @F.arrow_udf("boolean")
-    def leaks(texts: pa.Array) -> pa.Array:
-        out = np.zeros(len(texts), bool)
-        run: list[bytes] = []
-        begin = size = 0
-        values = texts.to_pylist()
-        for j in range(len(values) + 1):
-            if j == len(values) or (run and size + len(values[j] or "") > SEARCHED):
-                for index in shipped:
-                    for t, *_ in index.value.search(run):
-                        out[begin + t] = True
-                run, begin, size = [], j, 0
-            if j < len(values):
-                run.append(normal(values[j]))
-                size += len(run[-1])
-        return pa.array(out)
 
-    return docs.filter(~leaks(F.col(text)))
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per region of a document that holds a benchmark item within its edit budget.
+
+    ``start`` and ``stop`` are byte places in the normalised text, ``first_word`` the number of the word
+    there.  The last block's matches are not computed before they are asked for; earlier ones are stored.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col(text))
+    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    for n, (index, more) in enumerate(_indexes(benchmark, block)):
+        part = rows.mapInArrow(_finder(index), SCHEMA)
+        part = stored(part, "matches") if more else part
+        out = out.unionAll(part) if n else part
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item; order and other columns as they are."""
+    kept = docs
+    for n, (index, more) in enumerate(_indexes(benchmark, block)):
+        clean = kept.filter(~_leaking(index, text))
+        if more:
+            clean = stored(clean, "clean")
+            if n:
+                drop(kept)
+        kept = clean
+    return kept
