@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of one row per key is broadcast, and parts that a hot key is split into beyond.
+#: Rows up to which a table of one row per key is broadcast.
 BROADCAST_ROWS = 100_000
-SALTS = 64
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset, in a local session."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(set_to)
     return set_to
@@ -34,26 +36,48 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{folder(spark).rstrip('/')}/weft-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._weft_path = path
+    out._weft_paths = [path]
     return out
 
 
+def reads(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, known to read these ``stored`` tables and no others."""
+    df._weft_paths = [p for t in tables for p in getattr(t, "_weft_paths", [])]
+    return df
+
+
 def drop(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
-    path = getattr(df, "_weft_path", None)
-    if path:
+    """Delete the files of ``stored`` tables that nothing reads any more."""
+    for path in getattr(df, "_weft_paths", []):
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more.
+
+    It learns of them only when the driver's garbage is collected, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made to differ from all of ``df``'s columns, upper and lower case alike."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def with_key_table(rows: DataFrame, keyed: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``rows`` left-joined with ``keyed`` (one row per key, already stored and so cheap to count).
 
-    Up to ``limit`` keys ``keyed`` is broadcast; beyond, every key is split into ``SALTS`` parts, so that
-    a key with a third of all rows does not land in one task.
+    Up to ``limit`` keys ``keyed`` is broadcast; beyond, both are dealt by key for this join alone, so that
+    adaptive execution can split the rows of a key that holds a third of them.
     """
     if keyed.count() <= limit:
         return rows.join(F.broadcast(keyed), key, "left")
-    salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
+    return rows.join(keyed.hint("merge"), key, "left")

@@ -1,15 +1,21 @@
 """Candidate pairs from bucket keys, linear in the number of rows.
 
-Rows are ``(key, id)``: the id was seen with the key.  Keys with one id are dropped by one pass over
-rows sorted by key.  In a bucket of at most ``SMALL`` ids every pair is a candidate.  A larger bucket,
-which is mostly one family of copies around an original, takes as leaders the ids that share most
-buckets with others (the original agrees with more copies than the copies do among themselves), one
-leader from each of ``LEADERS`` hash classes, and pairs every id with every leader.  Leaders come from
-grouped maxima that are combined before the shuffle, so that no bucket is gathered in one task.
-
-The links to leaders leave most large buckets in one component.  Of the others, every pair of ids in
-different components is a candidate too, but for pairs whose sizes alone exclude a link (``settle``): two
-ids that share a bucket and are linked always end in one component.
+Rows are ``(key, id)``: the id was seen with the key.  Tasks send their sorted rows to ranges of keys
+(``_packed``), where keys of one id are dropped; the rows of keys that a hash sample shows to be held by many
+ids are dealt by id as well.  In a bucket of at most ``SMALL`` ids every pair is a candidate.  A larger
+bucket, which is mostly one family of copies around an original, takes as leaders the ids that share most
+buckets with others (the original agrees with more copies than the copies do among themselves), one leader
+from each of ``LEADERS`` hash classes, and pairs every id with every leader.  Leaders come from grouped
+maxima that are combined before the shuffle, and are stored before they are joined, so that a hot bucket's
+rows can be split.
+
+The links to leaders leave most large buckets in one component.  In the others (``settle``) the ids are
+sorted by a signature of ``SIGNS`` further minima, in another rotation for each bucket, and each id meets
+the ``NEXT`` following ones of other components: the more of a set two ids share, the nearer they stand.
+This is linear too, but can miss links between texts near the threshold.  ``exact=True`` instead joins the
+ids of those buckets by prefixes: two sets of similarity t share one of their first size - ceil(t size) + 1
+elements in order of rarity.  Then ids that share a bucket and are similar always end in one component, at
+a cost that grows with the square of a family of half-similar texts.
 """
 
 from __future__ import annotations
@@ -20,107 +26,215 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from weft.llm._scratch import drop, stored
+from weft.llm import _packed
+from weft.llm._scratch import drop, reads, stored
+from weft.llm._text import MIX_B, U64, list_array, mix
 from weft.llm.components import components
 
 SMALL = 12
 LEADERS = 4
-#: Ids of a large bucket that one part of the join of its unsettled pairs holds.
-BLOCK = 256
+#: One id of SAMPLED is looked at for hot keys; a key is hot that HOT of these have, and one of HOT_SHARE.
+SAMPLED, HOT, HOT_SHARE = 256, 8, 200
+#: Minima in the signature by which unsettled ids are sorted, and following ids that each one meets.
+SIGNS, NEXT = 8, 4
+#: Rows that a task holds before it sends them, and rows for each range of keys.
+FLUSH, RANGE = 1_000_000, 1_000_000
+
+Keys = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]
+_SEEDS = mix(np.arange(1, SIGNS + 1, dtype=U64) * MIX_B)
+
+
+def _sender(keys: Keys, ranges: int, hot: list[int]):
+    """Batches -> distinct (key, id) rows of a task by ranges of keys; of hot keys by ranges of ids."""
+    heavy = np.array(sorted(hot), np.int64).view(np.uint64)
+
+    def passed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, at = (np.concatenate([h[i] for h in held]).view(np.uint64) for i in (0, 1))
+        found = []
+        for kind, (low, high) in enumerate(((key, at), (at, key))):
+            if len(heavy):
+                some = np.isin(key, heavy) == bool(kind)
+                low, high = low[some], high[some]
+            elif kind:
+                break
+            order = np.lexsort((high, low))
+            low, high = low[order], high[order]
+            new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: len(low)]
+            low, high = low[new], high[new]
+            spread = low if not kind else mix(low)  # ids need not be spread over the numbers
+            if kind:
+                order = np.argsort(spread, kind="stable")
+                low, high, spread = low[order], high[order], spread[order]
+            for n, part in _packed.ranges(spread, 64, ranges):
+                found.append((n, kind, 0, _packed.pack((_packed.steps(low[part]), 8), (high[part], 8))))
+        return _packed.rows(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for key, at in keys(batch):
+                held.append((key, at))
+                size += len(key)
+                if size >= FLUSH:
+                    yield passed_on(held)
+                    held, size = [], 0
+        if size:
+            yield passed_on(held)
+
+    return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, id): distinct rows whose key has more than one id."""
-    key0 = id0 = None  # the last distinct row so far, and whether it was passed on
-    passed = True
-    for batch in batches:
-        key, at = (c.to_numpy() for c in batch.columns)
-        if not len(key):
-            continue
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
-        if key0 is not None and key[0] == key0 and at[0] == id0:
-            new[0] = False
-        key, at = key[new], at[new]
-        if not len(key):
-            continue
-        same = key[1:] == key[:-1]
-        joins = key0 is not None and key[0] == key0
-        keep = np.zeros(len(key), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= joins
-        late = ([key0], [id0]) if joins and not passed else ([], [])
-        out_key = np.concatenate([np.array(late[0], np.int64), key[keep]])
-        if len(out_key):
-            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(np.concatenate([np.array(late[1], np.int64), at[keep]]))], ["key", "id"])
-        key0, id0, passed = key[-1], at[-1], bool(keep[-1])
-
-
-def shared_keys(keys: DataFrame, parts: int | None = None) -> DataFrame:
-    """Distinct ``(key, id)`` rows of keys that several ids have."""
-    n = (parts or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")),)
-    return keys.repartition(*n, "key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long")
-
-
-def candidate_pairs(keys: DataFrame, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
-    """Distinct ``(a, b)``, a < b."""
-    return paired(buckets(keys), small, leaders)
-
-
-def buckets(keys: DataFrame) -> DataFrame:
-    """``shared_keys``, stored."""
-    return stored(shared_keys(keys), "buckets")
+    """Distinct rows of keys with more than one id, and of hot keys."""
+    for _, rows in _packed.grouped(batches):
+        for kind in (0, 1):
+            parts = [_packed.unpack(data, (8, 8)) for k, _, data in rows if k == kind]
+            if not parts:
+                continue
+            low, high = np.concatenate([np.cumsum(p[0].view(np.uint64)) for p in parts]), np.concatenate([p[1] for p in parts]).view(np.uint64)
+            order = np.lexsort((high, low))
+            low, high = low[order], high[order]
+            same = low[1:] == low[:-1]
+            new = np.concatenate([[True], ~same | (high[1:] != high[:-1])])
+            low, high = low[new], high[new]
+            same = low[1:] == low[:-1]
+            kept = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | bool(kind)
+            key, at = (low, high) if not kind else (high, low)
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept].view(np.int64)) for x in (key, at)], ["key", "id"])
+
+
+def hot_keys(keys: DataFrame) -> list[int]:
+    """Keys that a large share of the ids of ``keys`` (some ids with all their keys) have: at most HOT_SHARE for each key of an id."""
+    some = keys.distinct()
+    found = some.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT)
+    ids = some.agg(F.countDistinct("id").alias("ids"))  # one row
+    return [r[0] for r in found.crossJoin(F.broadcast(ids)).filter(F.col("n") * HOT_SHARE >= F.col("ids")).select("key").collect()]
+
+
+def buckets(source: DataFrame, keys: Keys, each: int = 1) -> DataFrame:
+    """Stored distinct ``(key, id)`` rows of keys that several ids have.
+
+    ``source`` has a column ``id``; ``keys`` gives the (key, id) arrays of one of its batches, ``each`` keys a row.
+    """
+    spark = source.sparkSession
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, at in keys(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at)], ["key", "id"])
+
+    some = source.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).mapInArrow(plain, "key long, id long")
+    ranges = _packed.EACH * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source.count() * each // RANGE // _packed.EACH))
+    sent = source.mapInArrow(_sender(keys, ranges, hot_keys(some)), _packed.SCHEMA)
+    return stored(_packed.dealt(sent, ranges).mapInArrow(_shared, "key long, id long"), "buckets")
+
+
+def keyed_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``Keys`` of rows (key, id)."""
+    yield tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
 
 
 def paired(rows: DataFrame, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
-    """The candidate pairs of ``buckets``."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
-    weight = rows.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight"))
+    """The candidate pairs of ``buckets``, stored."""
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    weight = stored(rows.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight")), "weight")
     few = rows.join(sizes.filter(F.col("n") <= small), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     within = few.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    many = rows.join(sizes.filter(F.col("n") > small).select("key"), "key").join(weight, "id")
+    many = stored(rows.join(sizes.filter(F.col("n") > small).select("key"), "key").join(weight, "id"), "many")
     order = F.struct("weight", (-F.col("id")).alias("id"))
     best = many.groupBy("key").agg(*[F.max(F.when(F.pmod(F.xxhash64("id"), F.lit(leaders)) == t, order)).alias(f"t{t}") for t in range(leaders)])
-    heads = best.select("key", F.array_compact(F.array(*[-F.col(f"t{t}.id") for t in range(leaders)])).alias("heads"))
+    heads = stored(best.select("key", F.array_compact(F.array(*[-F.col(f"t{t}.id") for t in range(leaders)])).alias("heads")), "heads")
     across = many.join(heads, "key").select("id", F.explode("heads").alias("head")).filter("id != head")
     across = across.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-    return within.unionAll(across).distinct()
+    out = stored(within.unionAll(across).distinct(), "pairs")
+    for done in (sizes, weight, many, heads):
+        drop(done)
+    return out
 
 
 def unsettled(rows: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
-    """``(key, id, root, n)`` of the large buckets whose ids are in several components."""
-    large = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > small)
-    of = rows.join(large.select("key"), "key").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = of.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    return of.join(mixed.select("key", "n"), "key")
-
-
-def rest(left: DataFrame, sizes: DataFrame, done: DataFrame, least: float) -> DataFrame:
-    """Distinct ``(a, b)``, a < b, of ``unsettled`` rows in different components that ``done`` lacks.
-
-    A bucket's pairs are dealt out by blocks of one side.  A similarity of ``least`` needs sizes of that ratio.
+    """``(key, id, root)`` of the large buckets whose ids are in several components."""
+    of = stored(rows.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "of")
+    each = of.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = stored(each.filter((F.col("n") > small) & (F.col("low") != F.col("high"))).select("key"), "mixed")
+    out = stored(of.join(mixed.hint("merge"), "key", "left_semi"), "unsettled")
+    drop(of)
+    drop(mixed)
+    return out
+
+
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, elements) -> (id, minima of SIGNS hashes of the elements)."""
+    for batch in batches:
+        lists = batch.column(1)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        rows = [mix(flat[None, i:j] ^ _SEEDS[:, None]).min(axis=1).view(np.int64) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), list_array(rows, pa.int64())], ["id", "signs"])
+
+
+def near(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of ``unsettled`` ids of different components that stand near each other in the order of their signatures."""
+    signs = stored(sets.mapInArrow(_signs, "id long, signs array<long>"), "signs")
+    turn = F.pmod(F.xxhash64("key"), F.lit(SIGNS)).cast("int")
+    order = left.join(signs.hint("merge"), "id").select("key", "id", "root", F.concat(F.slice("signs", turn + 1, SIGNS), F.slice("signs", 1, turn)).alias("order"))
+    along = Window.partitionBy("key", F.col("order")[0]).orderBy("order", "id")
+    after = F.array(*[F.lead(F.struct("id", "root"), n).over(along) for n in range(1, NEXT + 1)])
+    pairs = order.select("id", "root", after.alias("after")).select("id", "root", F.explode("after").alias("other")).filter("other is not null and other.root != root")
+    out = stored(pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct(), "near")
+    drop(signs)
+    return out
+
+
+def rest(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs of ``unsettled`` ids of different components that can be similar: all of them.
+
+    Of an element's ids, those outside the component that most of them are in are paired with all, so that
+    a large family of linked texts does not meet itself.
     """
-    sized = left.join(sizes, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    a = sized.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    b = sized.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    pairs = a.join(b.hint("merge"), ["key", "block"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9))
-    return pairs.select("a", "b").distinct().join(done.hint("merge"), ["a", "b"], "left_anti")
-
-
-def settle(rows: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], sizes: Callable[[DataFrame], DataFrame], least: float) -> tuple[DataFrame, DataFrame]:
+    left = left.select("id", "root").distinct()
+    elements = sets.select("id", F.explode("elements").alias("element"))
+    elements = stored(elements, "elements")
+    rarity = stored(elements.groupBy("element").agg(F.count("*").alias("df")), "rarity")
+    in_order = Window.partitionBy("id").orderBy("df", "element")  # one id's set
+    placed = elements.join(rarity.filter("df > 1"), "element", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    placed = placed.withColumn("place", F.row_number().over(in_order)).withColumn("size", F.count("*").over(Window.partitionBy("id")))
+    prefix = placed.filter((F.col("df") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1))
+    prefix = stored(prefix.select("id", "element", "place", "size").join(left.hint("merge"), "id"), "prefix")
+    per = prefix.groupBy("element", "root").agg(F.count("*").alias("n"))
+    most = per.groupBy("element").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
+    most = stored(most.select("element", F.col("m.root").alias("main")), "most")
+    both = prefix.join(most, "element")
+    x = both.filter("root != main").select("element", *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "place", "size")])
+    y = both.select("element", *[F.col(c).alias(f"y_{c}") for c in ("id", "root", "place", "size")])
+    # what two sets can still share from these places on must reach the similarity
+    shared = F.lit(1) + F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place")) + F.least("x_place", "y_place") - 1
+    pairs = x.join(y.hint("merge"), "element").filter((F.col("x_root") != F.col("y_root")) & (shared * (1 + least) >= least * (F.col("x_size") + F.col("y_size")) - 1e-6))
+    pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    out = stored(pairs, "rest")
+    for old in (elements, rarity, prefix, most):
+        drop(old)
+    return out
+
+
+def settle(rows: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], least: float, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verified links and ``components`` of ``buckets`` and their ``paired``.
 
-    ``verify`` keeps and stores the links of a table of pairs; ``sizes`` gives ``(id, size)`` of a table of ids.
+    ``verify`` keeps and stores the links of a table of pairs; ``sets`` gives ``(id, elements)``, the distinct
+    elements of the ids of a table, whose Jaccard similarity bounds the verified one.
     """
     links = verify(pairs)
     roots = components(links.select("a", "b"))
-    left = stored(unsettled(rows, roots), "unsettled")
+    left = unsettled(rows, roots)
     if not left.isEmpty():
-        more = stored(rest(left, sizes(left.select("id").distinct()), pairs, least), "rest")
-        found = verify(more)
+        own = sets(left.select("id").distinct())
+        more = rest(left, own, least) if exact else near(left, own)
+        found = verify(more.join(pairs.hint("merge"), ["a", "b"], "left_anti"))
         drop(more)
-        roots, links = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(found.select("a", "b"))), links.unionAll(found)
+        if not found.isEmpty():
+            old, roots = roots, components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(found.select("a", "b")))
+            drop(old)
+            links = reads(links.unionAll(found), links, found)
     drop(left)
     return links, roots

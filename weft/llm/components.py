@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._scratch import drop, stored
+from weft.llm._scratch import drop, reads, stored
 
 #: Edges that a task holds before it passes its forest on.
 HELD = 500_000
@@ -68,13 +68,15 @@ def components(edges: DataFrame) -> DataFrame:
         if odd.isEmpty():
             break
         both = state.unionAll(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        # the grouped minima are stored, so that both sides of a join are dealt for it and a hub's edges can be split
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stored(both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "large")
+        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        small = large.join(lowest.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         new = stored(small.filter("u != v").distinct(), "forest")
-        drop(state)
+        for old in (state, least, large, lowest):
+            drop(old)
         state = new
     else:
         raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
-    return state.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return reads(state.select(F.col("u").alias("id"), F.col("v").alias("root")), state)
