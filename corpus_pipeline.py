@@ -16,8 +16,8 @@ from weft.sources.tables import table
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from the labelled ones among ``docs``."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.fit_score(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return scored.filter("predicted = 0").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

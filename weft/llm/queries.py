@@ -34,13 +34,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.fit_score(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return scored.select("doc_id", F.coalesce(toxicity.fold() == toxicity.HELD_OUT, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The near-duplicate class of every document, and its number of links."""
+    """The near-duplicate class of every document."""
     return order_minhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
