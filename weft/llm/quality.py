@@ -2,19 +2,23 @@
 
 Two views of a document: its text (shape statistics of words, symbols, repeats and lines) and its
 metadata (language, source, declared length).  A logistic regression is fitted on each from the labelled
-rows; over ``ROUNDS`` rounds each labels the rows of an unlabelled pool of which it is surest and hands
-them to the other.  Both are then calibrated on labelled rows that neither has seen, and a logistic
-combination of the calibrated views scores all documents.
+rows; over ``ROUNDS`` rounds each scores all unlabelled documents and hands the ones of which it is surest
+to the other, as many as ``HANDED`` and at most one of ``SPARED`` of the pool.  Both are then calibrated on
+labelled rows that neither has seen, and a logistic combination of the calibrated views scores all documents.
 
-Only the fitting uses bounded, hash-chosen samples (``LABELLED``, ``POOL`` and ``CALIBRATION`` rows); it
-runs on the driver over their features.  Scoring is one narrow pass over whole texts.
+Only the labelled rows that are fitted on are bounded, hash-chosen samples (``LABELLED`` and ``CALIBRATION``
+rows); fitting runs on the driver over their features.  The pool is every unlabelled document: its features
+are stored once, and each round is one pass over them in which a task passes on its own surest rows.
+Scoring is one narrow pass over whole texts.
 
 Edge cases: a null text counts as empty and an empty text has all-zero statistics; null metadata are a
 value of their own; a null n_chars counts as 0; with labels of one class only, or none, every score is
-the share of good rows (0.5 without labels); a document with several label rows counts as good if most
-say so (ties: good); rows with a null doc_id are scored but never learnt from; repeated rows are scored
-each; empty tables give empty results; other columns are kept untouched and added columns replace
-columns of the same names.
+the share of good rows (0.5 without labels); without unlabelled documents, or where neither view is
+confident of one, nothing is handed over and each view is that of its labelled rows (``Model.exchanged``
+counts the hand-overs); a document with several label rows counts as good if most say so (ties: good); rows
+with a null doc_id are scored but never learnt from; repeated rows are scored each; equal odds go to the
+smaller doc_id; empty tables give empty results; other columns, whatever their names, are kept untouched and
+added columns replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -30,10 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._scratch import drop, stored, unused
 from weft.llm._text import words_of
 
-LABELLED, POOL, CALIBRATION = 12_000, 12_000, 8_000
-ROUNDS, HANDED = 4, 600
+LABELLED, CALIBRATION = 12_000, 8_000
+ROUNDS, HANDED, SPARED = 4, 600, 8
+#: Odds (as a logarithm) from which a view is confident.
+SURE = 1.0
 TEXT_FEATURES, HASHED = 16, 24
 FOLDS, HELD_OUT, CALIBRATING = 5, 0, 4
 
@@ -126,6 +133,7 @@ class Model:
     metadata: View | None
     both: np.ndarray
     constant: float | None = None
+    exchanged: int = 0  # pseudo-labels that were handed over
 
     def scores(self, texts: list, langs: list, sources: list, sizes: list) -> np.ndarray:
         """[documents, 3]: combined score, text view, metadata view."""
@@ -136,55 +144,108 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.stack([a * self.both[0] + b * self.both[1] + self.both[2], a, b], axis=1), -500, 500)))
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED) -> tuple[View, View]:
-    """Both views after the rounds; ``a`` and ``b`` are the labelled rows in either view."""
-    free = np.ones(len(pool_a), bool)
+Rows = list[tuple[int, list[float], list[float]]]  # doc_id, both views
+
+
+def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pick, handed: int, rounds: int = ROUNDS) -> tuple[View, View, int]:
+    """Both views after the rounds, and how many rows were handed over; ``a`` and ``b`` are the labelled rows in either view.
+
+    ``pick(views, giver, label, n, given)`` gives the n rows of the pool, but for those of the ids ``given``, to
+    which the giver's view gives that label most surely, the surest first, where it is confident.
+    """
     sets = [[a, y], [b, y]]
     views = [View.of(*s) for s in sets]
     rate = float(y.mean())
-    for _ in range(rounds):
-        for giver, taker, own, others in ((0, 1, pool_a, pool_b), (1, 0, pool_b, pool_a)):
-            at = np.flatnonzero(free)
-            if len(at) < 2 * handed:
-                return views[0], views[1]
-            odds = views[giver].logit(own[at])
-            order = np.argsort(odds, kind="stable")
-            bad, good = at[order[: max(1, round(handed * (1 - rate)))]], at[order[-max(1, round(handed * rate)) :]]
-            sure_bad, sure_good = bad[odds[order[: len(bad)]] < -1], good[odds[order[-len(good) :]] > 1]  # confident ones only
-            given = np.concatenate([sure_bad, sure_good])
-            free[given] = False
-            sets[taker][0] = np.vstack([sets[taker][0], others[given]])
-            sets[taker][1] = np.concatenate([sets[taker][1], np.zeros(len(sure_bad)), np.ones(len(sure_good))])
+    counts = (max(1, round(handed * (1 - rate))), max(1, round(handed * rate)))
+    given: set[int] = set()
+    for _ in range(rounds if handed else 0):
+        before = len(given)
+        for giver, taker in ((0, 1), (1, 0)):
+            for label in (0, 1):
+                rows: Rows = pick(views, giver, label, counts[label], given)
+                if rows:
+                    given |= {r[0] for r in rows}
+                    sets[taker][0] = np.vstack([sets[taker][0], np.array([r[1 + taker] for r in rows])])
+                    sets[taker][1] = np.concatenate([sets[taker][1], np.full(len(rows), float(label))])
+        if len(given) == before:
+            break
         views = [View.of(*s) for s in sets]
-    return views[0], views[1]
+    return views[0], views[1], len(given)
+
+
+_VIEWS = "id long, y double, a array<double>, b array<double>"
+
+
+def _viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, y, text, lang, source, n_chars) -> both views."""
+    for batch in batches:
+        texts, langs, sources, sizes = (c.to_pylist() for c in batch.columns[2:])
+        a = [text_view(t) for t in texts]
+        b = [metadata_view(*x) for x in zip(langs, sources, sizes, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.list_(pa.float64())), pa.array(b, pa.list_(pa.float64()))], ["id", "y", "a", "b"])
+
+
+def _views(docs: DataFrame, y, text: str) -> DataFrame:
+    """Both views of documents with a doc_id; ``y`` is the label's column."""
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), y.alias("y"), text, "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    return rows.mapInArrow(_viewed, _VIEWS)
 
 
 def _features(docs: DataFrame, chosen: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both views and the label of a bounded sample (doc_id, y), by doc_id."""
+    key, label = unused(docs, "id", "label")
+    known = F.broadcast(chosen.select(F.col("doc_id").alias(key), F.col("y").alias(label)))
+    got = _views(docs.join(known, F.col("doc_id") == F.col(key)), F.col(label), text).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["id"], r["a"]))
+    return np.array([r["a"] for r in got]).reshape(len(got), TEXT_FEATURES), np.array([r["b"] for r in got]).reshape(len(got), HASHED + 3), np.array([r["y"] for r in got], float)
+
+
+def _surest(view: View, giver: int, label: int, n: int, given: set[int]):
+    """A task's n surest rows, (strength, id, a, b)."""
+    done = np.array(sorted(given), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for batch in batches:
-            ids, y, texts, langs, sources, sizes = (c.to_pylist() for c in batch.columns)
-            a = [text_view(t) for t in texts]
-            b = [metadata_view(*x) for x in zip(langs, sources, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.float64()), pa.array(a, pa.list_(pa.float64())), pa.array(b, pa.list_(pa.float64()))], ["id", "y", "a", "b"])
+            ids = batch.column(0).to_numpy()
+            free = ~np.isin(ids, done)
+            if not free.any():
+                continue
+            x = batch.column(2 + giver).flatten().to_numpy().reshape(len(ids), -1)
+            strength = view.logit(x) * (1 if label else -1)
+            rows = np.flatnonzero(free & (strength > SURE))
+            rows = rows[np.lexsort((ids[rows], -strength[rows]))[:n]]
+            new = pa.table({"strength": pa.array(strength[rows]), "id": pa.array(ids[rows]), "a": batch.column(2).take(pa.array(rows)), "b": batch.column(3).take(pa.array(rows))})
+            best = new if best is None else pa.concat_tables([best, new]).sort_by([("strength", "descending"), ("id", "ascending")]).slice(0, n)
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "y", text, "lang", "source", "n_chars")
-    got = rows.mapInArrow(run, "id long, y double, a array<double>, b array<double>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["id"], r["a"]))
-    return np.array([r["a"] for r in got]).reshape(len(got), TEXT_FEATURES), np.array([r["b"] for r in got]).reshape(len(got), HASHED + 3), np.array([r["y"] for r in got], float)
+    return run
+
+
+def picker(pool: DataFrame):
+    """``pick`` over a stored table of views."""
+
+    def pick(views, giver: int, label: int, n: int, given: set[int]) -> Rows:
+        some = pool.mapInArrow(_surest(views[giver], giver, label, n, given), "strength double, id long, a array<double>, b array<double>")
+        rows = some.orderBy(F.desc("strength"), "id", "a").limit(n).collect()  # at most HANDED rows
+        return [(r["id"], r["a"], r["b"]) for r in rows]
+
+    return pick
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", labelled: int = LABELLED, pool: int = POOL, calibration: int = CALIBRATION) -> Model:
-    """The model learnt from labelled documents outside the held-out fold and a pool of others."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", labelled: int = LABELLED, calibration: int = CALIBRATION, handed: int = HANDED) -> Model:
+    """The model learnt from labelled documents outside the held-out fold and all unlabelled ones."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y")).withColumn("f", fold()).filter(F.col("f") != HELD_OUT)
     by_hash = (F.xxhash64("doc_id"), "doc_id")
     a, b, y = _features(docs, known.filter(F.col("f") != CALIBRATING).orderBy(*by_hash).limit(labelled).select("doc_id", "y"), text)
     if not 0 < y.sum() < len(y):
         return Model(None, None, np.zeros(3), constant=float(y.mean()) if len(y) else 0.5)
-    unknown = docs.select("doc_id").filter("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
-    pool_a, pool_b, _ = _features(docs, unknown.orderBy(*by_hash).limit(pool).withColumn("y", F.lit(0.0)), text)
-    views = co_train(a, b, y, pool_a, pool_b)
+    (key,) = unused(docs, "id")
+    unknown = docs.join(labels.select(F.col("doc_id").alias(key)).hint("merge"), F.col("doc_id") == F.col(key), "left_anti")
+    pool = stored(_views(unknown, F.lit(0.0), text), "pool")
+    *views, exchanged = co_train(a, b, y, picker(pool), min(handed, pool.count() // SPARED))
+    drop(pool)
     ca, cb, cy = _features(docs, known.filter(F.col("f") == CALIBRATING).orderBy(*by_hash).limit(calibration).select("doc_id", "y"), text)
     if 0 < cy.sum() < len(cy):
         views[0].calibrate(ca, cy)
@@ -192,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", labelled: int =
         both = fitted(np.stack([views[0].logit(ca), views[1].logit(cb)], axis=1), cy)
     else:
         both = np.array([1.0, 0.5, 0.0])
-    return Model(views[0], views[1], both)
+    return Model(*views, both, exchanged=exchanged)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -205,6 +266,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(3)], ["quality_score", "text_score", "metadata_score"])
 
     names = ["quality_score", "text_score", "metadata_score"]
-    out = docs.withColumn("_scored", run(F.col(text), F.col("lang"), F.col("source"), F.col("n_chars").cast("long")))
+    (mark,) = unused(docs, "scored")
+    out = docs.withColumn(mark, run(F.col(text), F.col("lang"), F.col("source"), F.col("n_chars").cast("long")))
     kept = [c for c in docs.columns if c not in (*names, "predicted")]
-    return out.select(*kept, *[F.col(f"_scored.{n}").alias(n) for n in names], (F.col("_scored.quality_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(*kept, *[F.col(f"{mark}.{n}").alias(n) for n in names], (F.col(f"{mark}.quality_score") >= 0.5).cast("int").alias("predicted"))
