@@ -7,9 +7,15 @@ The counts are the leaves of a binary tree whose inner nodes hold sums.  An edit
 segments that it touches, and as many neighbours as it takes until the region again ends at safe
 places; then the sums on the way to the root are updated.
 
+``counted`` can keep a document's tree (``keep_tree``): the ends and counts of its segments.  ``recounted``
+takes kept trees and edits, encodes only what the edits touch, and returns the edited text with its tree,
+ready for the next edits.
+
 Edge cases: a null or empty text has no token and an empty tree; edits are applied in order of their
-start, must not overlap (``ValueError``), and are clipped to the text; an edit may delete everything or
-fill an empty text; a text without any safe place is one segment; very long texts are cut every
+start and are clipped to the text; of edits that overlap, end before they start or have a null place, none
+of the document's is applied, and ``error`` says so (null otherwise); an edit's null text deletes; a null
+list has no edits; an edit may delete everything or fill an empty text; a kept tree that does not fit its
+text is built anew; a text without any safe place is one segment; very long texts are cut every
 ``SEGMENT`` characters or soon after; repeated rows are counted each; empty tables give empty results;
 other columns are kept untouched, and added columns replace columns of the same names.
 """
@@ -20,12 +26,15 @@ import base64
 import re
 from collections.abc import Callable
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._scratch import unused
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern of that vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,15 +69,21 @@ def cuts(text: str, segment: int = SEGMENT) -> list[int]:
 class SegmentTree:
     """Token counts of one document's segments, with subtree sums."""
 
-    def __init__(self, text: str, count: Callable[[str], int], segment: int = SEGMENT):
+    def __init__(self, text: str, count: Callable[[str], int], segment: int = SEGMENT, kept: tuple[list[int], list[int]] | None = None):
+        """``kept`` holds the ends and counts of the segments, where they are known: nothing is encoded then."""
         self.count, self.segment = count, segment
         self.parts: list[str] = []
+        ends, counts = kept or ([], [])
+        fits = len(ends) == len(counts) and (ends[-1:] == [len(text)] if text else not ends)
         begin = 0
-        for end in cuts(text, segment):
+        for end in ends if kept and fits else cuts(text, segment):
             self.parts.append(text[begin:end])
             begin = end
-        self.encoded = len(text)  # characters encoded so far
-        self._grow([count(p) for p in self.parts])
+        self.encoded = 0 if kept and fits else len(text)  # characters encoded so far
+        self._grow(list(counts) if kept and fits else [count(p) for p in self.parts])
+
+    def ends(self) -> list[int]:
+        return list(accumulate(map(len, self.parts)))
 
     def _grow(self, leaves: list[int]) -> None:
         """Sums over leaves: node i has children 2i and 2i + 1, leaf j is node size + j."""
@@ -194,8 +209,33 @@ def mask_edits(text: str) -> list[Edit]:
     return out
 
 
-SCHEMA = "n_tokens long, n_tokens_edited long, n_segments long, n_edits long, n_chars_reencoded long, tree array<int>"
-_ROW = pa.struct([(n, pa.int64()) for n in ("n_tokens", "n_tokens_edited", "n_segments", "n_edits", "n_chars_reencoded")] + [("tree", pa.list_(pa.int32()))])
+TREE = "tree struct<ends:array<int>,counts:array<int>>"
+SCHEMA = f"n_tokens long, n_tokens_edited long, n_segments long, n_edits long, n_chars_reencoded long, error string, {TREE}"
+_TREE = pa.struct([("ends", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+_NUMBERS = ("n_tokens", "n_tokens_edited", "n_segments", "n_edits", "n_chars_reencoded")
+_FIELDS = [*((n, pa.int64()) for n in _NUMBERS), ("error", pa.string()), ("tree", _TREE)]
+
+
+def _checked(changes: list[dict | None] | None) -> tuple[list[Edit], str | None]:
+    """The edits of a row, or what is wrong with them."""
+    edits = []
+    for c in changes or []:
+        if c is None or c["start"] is None or c["end"] is None:
+            return [], "an edit has no place"
+        edits.append((max(0, c["start"]), max(0, c["end"]), c["text"] or ""))
+    edits.sort()
+    if any(a > b for a, b, _ in edits):
+        return [], "an edit ends before it starts"
+    if any(x[1] > y[0] for x, y in zip(edits, edits[1:], strict=False)):
+        return [], "edits overlap"
+    return edits, None
+
+
+def _row(tree: SegmentTree, edits: list[Edit], error: str | None, keep: bool) -> dict:
+    before, read = tree.total, tree.encoded
+    tree.apply(edits)
+    numbers = (before, tree.total, len(tree.parts), len(edits), tree.encoded - read)
+    return {**dict(zip(_NUMBERS, numbers, strict=True)), "error": error, "tree": {"ends": tree.ends(), "counts": tree.leaves()} if keep else None}
 
 
 def counted(docs: DataFrame, text: str = "text", edits: str | None = None, vocabulary: str = VOCABULARY, segment: int = SEGMENT, keep_tree: bool = False) -> DataFrame:
@@ -203,7 +243,7 @@ def counted(docs: DataFrame, text: str = "text", edits: str | None = None, vocab
 
     ``edits`` names a column ``array<struct<start:int,end:int,text:string>>``; without it the edits
     are those of ``mask_edits``.  ``n_chars_reencoded`` is what the edits made the tokenizer read
-    again.  ``tree`` holds the segment tree's sums after the edits (null unless ``keep_tree``).
+    again.  ``tree`` is the tree after the edits (null unless ``keep_tree``), that of the edited text.
     """
 
     def rows(texts: pa.Array, changes: pa.Array | None) -> pa.Array:
@@ -211,26 +251,46 @@ def counted(docs: DataFrame, text: str = "text", edits: str | None = None, vocab
         given = changes.to_pylist() if changes is not None else [None] * len(texts)
         for value, change in zip(texts.to_pylist(), given, strict=True):
             value = value or ""
-            tree = SegmentTree(value, count, segment)
-            before, read = tree.total, tree.encoded
-            todo = mask_edits(value) if changes is None else [(c["start"], c["end"], c["text"] or "") for c in change or []]
-            tree.apply(todo)
-            out.append({"n_tokens": before, "n_tokens_edited": tree.total, "n_segments": len(tree.parts), "n_edits": len(todo), "n_chars_reencoded": tree.encoded - read, "tree": tree.sums if keep_tree else None})
-        return pa.array(out, _ROW)
-
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+            todo, error = (mask_edits(value), None) if changes is None else _checked(change)
+            out.append(_row(SegmentTree(value, count, segment), todo, error, keep_tree))
+        return pa.array(out, pa.struct(_FIELDS))
+
+    names = [f[0] for f in _FIELDS]
+    (mark,) = unused(docs, "counted")
     if edits is None:
 
         @F.arrow_udf(SCHEMA)
         def run(texts: pa.Array) -> pa.Array:
             return rows(texts, None)
 
-        found = docs.withColumn("_counted", run(F.col(text)))
+        found = docs.withColumn(mark, run(F.col(text)))
     else:
 
         @F.arrow_udf(SCHEMA)
         def run_given(texts: pa.Array, changes: pa.Array) -> pa.Array:
             return rows(texts, changes)
 
-        found = docs.withColumn("_counted", run_given(F.col(text), F.col(edits)))
-    return found.select(*[c for c in docs.columns if c not in names], *[F.col(f"_counted.{n}").alias(n) for n in names])
+        found = docs.withColumn(mark, run_given(F.col(text), F.col(edits)))
+    return found.select(*[c for c in docs.columns if c not in names], *[F.col(f"{mark}.{n}").alias(n) for n in names])
+
+
+def recounted(docs: DataFrame, edits: str, text: str = "text", tree: str = "tree", vocabulary: str = VOCABULARY, segment: int = SEGMENT) -> DataFrame:
+    """``docs`` with the edits applied to the text and to its kept tree; one narrow pass.
+
+    The columns are those of ``counted``; text and tree are replaced by the edited ones.
+    """
+
+    @F.arrow_udf(f"{SCHEMA}, text string")
+    def run(texts: pa.Array, kept: pa.Array, changes: pa.Array) -> pa.Array:
+        count, out = counter(vocabulary), []
+        for value, known, change in zip(texts.to_pylist(), kept.to_pylist(), changes.to_pylist(), strict=True):
+            todo, error = _checked(change)
+            held = SegmentTree(value or "", count, segment, (known["ends"], known["counts"]) if known and known["ends"] is not None and known["counts"] is not None else None)
+            row = _row(held, todo, error, True)
+            out.append({**row, "text": held.text if value is not None or todo else None})
+        return pa.array(out, pa.struct([*_FIELDS, ("text", pa.string())]))
+
+    names = [f[0] for f in _FIELDS if f[0] != "tree"]
+    (mark,) = unused(docs, "counted")
+    found = docs.withColumn(mark, run(F.col(text), F.col(tree), F.col(edits))).withColumn(text, F.col(f"{mark}.text")).withColumn(tree, F.col(f"{mark}.tree"))
+    return found.select(*[c for c in docs.columns if c not in names], *[F.col(f"{mark}.{n}").alias(n) for n in names])
