@@ -8,12 +8,14 @@ P(suffix | language), and host counts smoothed towards the site's (last two labe
 all pages'.  A page's own posterior is left out of its host's and site's counts.
 
 The text models are fitted on a bounded, hash-chosen sample (``SAMPLE`` documents); everything else
-covers all pages.  Host and site tables are broadcast up to a checked size and salted beyond.
+covers all pages.  Host and site tables are broadcast up to a checked size and joined by key beyond, where
+adaptive execution splits a host that holds much.
 
 Edge cases: a null or empty page has no text evidence and is decided by the rest; a null address has
 the host ''; a page without a declaration has the declaration 'none', one of an unknown language
 'other'; equal posteriors go to the alphabetically first language; with no labelled document every
-language is null with posterior 0; repeated pages are judged each; empty tables give empty results;
+language is null with posterior 0; of more than ``MOST_LANGUAGES`` languages the rarest have no model and
+are never found; repeated pages are judged each; empty tables give empty results;
 other columns are ignored.
 """
 
@@ -60,9 +62,9 @@ def grams(text: str) -> np.ndarray:
 def text_models(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and log P(4-gram | language) as [languages, BUCKETS]."""
     known = docs.filter("lang is not null and text is not null and doc_id is not null")
-    languages = sorted(r[0] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    languages = sorted(r[0] for r in counts.limit(MOST_LANGUAGES).collect())
+    known = known.join(F.broadcast(counts.limit(MOST_LANGUAGES).select("lang")), "lang", "left_semi")
     chosen = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").distinct()
     place = {x: i for i, x in enumerate(languages)}
 

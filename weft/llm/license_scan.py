@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._scratch import unused
 from weft.llm._text import ASCII_LOWERED
 
 #: Base phrases and their labels (fixed values).
@@ -226,5 +227,6 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.array([scan(t) for t in texts.to_pylist()], ROW)
 
     names = [f.split()[0] for f in SCHEMA.split(", ")]
-    found = docs.withColumn("_scan", run(F.col(text)))
-    return found.select(*[c for c in docs.columns if c not in names], *[F.col(f"_scan.{n}").alias(n) for n in names])
+    (mark,) = unused(docs, "scan")
+    found = docs.withColumn(mark, run(F.col(text)))
+    return found.select(*[c for c in docs.columns if c not in names], *[F.col(f"{mark}.{n}").alias(n) for n in names])

@@ -8,13 +8,13 @@ documents, and of the last block as many documents, in that block's order, as th
 
 The cut of the last block is found without sorting a source: its documents fall into cells by their
 permutation key, cells are summed before the shuffle, and only the cell in which the budget ends is
-ordered.  Per-source tables are broadcast up to a checked number of sources and salted beyond.
+ordered.  Per-source tables are broadcast up to a checked number of sources and joined by key beyond.
 
 Edge cases: a null text has no token; a null source counts as the source ''; documents without a
 token weigh nothing but come along in the blocks in which their place in the order lies; sources
 without a token get weight 0 and no rows; one source gets weight 1; rows repeated with one doc_id are
 taken or left together; a null doc_id is ordered as ''; an empty table gives an empty result; other
-columns are kept, and the added columns replace columns of the same names.
+columns, whatever their names, are kept, and the added columns replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm._scratch import drop, stored, with_key_table
+from weft.llm._scratch import drop, stored, unused, with_key_table
 
 ENTROPY, REPEATS, SEED = 0.97, 4.0, 17
 #: Bisection steps, and how many of them one pass over the sources evaluates.
@@ -110,13 +110,21 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", budget: flo
     cut = stored(ended.join(last, "_source", "left"), "cut")
     for old in (slim, sources, plan, ended):
         drop(old)
-    out = placed(docs.select(*kept).withColumn("_source", F.coalesce(F.col(source), F.lit(""))), cut)
-    place = F.struct(F.col("_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"))
-    more = (F.col("_cell") < F.col("end_cell")) | ((F.col("_cell") == F.col("end_cell")) & F.coalesce(place <= F.col("last"), F.lit(False)))
-    out = out.withColumn("_copies", F.col("full") + more.cast("long")).filter("_copies > 0")
-    out = out.withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))))
+    # the plan's columns ride along under names that no column of docs has
+    plain = ["_source", "full", "cells", "end_cell", "last", "n", "goal", "weight", "copies", "key", "cell"]
+    own = dict(zip(plain, unused(docs, *plain), strict=True))
+    keys = cut.select(*[F.col(c).alias(own[c]) for c in plain[:8]])
+    out = with_key_table(docs.select(*kept).withColumn(own["_source"], F.coalesce(F.col(source), F.lit(""))), keys, own["_source"])
+    col = {c: F.col(own[c]) for c in plain}
+    out = out.filter(col["full"].isNotNull()).withColumn(own["key"], permutation_key(col["full"], F.col("doc_id"), seed))
+    out = out.withColumn(own["cell"], F.shiftright(F.shiftright(own["key"], 30) * col["cells"], 30))
+    place = F.struct(col["key"].alias("_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"))
+    more = (col["cell"] < col["end_cell"]) | ((col["cell"] == col["end_cell"]) & F.coalesce(place <= col["last"], F.lit(False)))
+    out = out.withColumn(own["copies"], col["full"] + more.cast("long")).filter(col["copies"] > 0)
+    out = out.withColumn("block", F.explode(F.sequence(F.lit(0), (col["copies"] - 1).cast("int"))))
     u = permutation_key(F.col("block"), F.col("doc_id"), seed) / F.lit(float(1 << KEY_BITS))
-    return out.withColumn("mix_order", F.round((F.col("block") + u) * F.col("n") / F.col("goal"), 6)).withColumn("weight", F.round("weight", 6)).select(*kept, *ADDED)
+    order = F.round((F.col("block") + u) * col["n"] / col["goal"], 6)
+    return out.select(*kept, "block", order.alias("mix_order"), F.round(col["weight"], 6).alias("weight"))
 
 
 def oracle(entropy: float = ENTROPY, repeats: float = REPEATS, seed: int = SEED) -> str:
