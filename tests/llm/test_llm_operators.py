@@ -358,6 +358,7 @@ def test_toxicity_features_equal_a_plain_recount(spark, monkeypatch):
     texts = [t for t, _ in train[:30]] + [sentence(rng, 40) + " unheard vile", "", "unheard", None, "vile vile vile", " ".join(WORDS * 50)]
     want = plain_features(train, texts)
     monkeypatch.setattr(toxicity, "FLUSH", 300)
+    monkeypatch.setattr(toxicity, "COUNTED", 300)
     model = toxicity.counted(spark.createDataFrame(train, "t string, y int").repartition(5), "t", "y")
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     key = docs.select("doc_id", toxicity._key("text").alias("key"))
@@ -368,6 +369,9 @@ def test_toxicity_features_equal_a_plain_recount(spark, monkeypatch):
 
 def test_toxicity_counts_grow_with_the_corpus(spark):
     rng = random.Random(41)
+    few = toxicity.counted(spark.createDataFrame([("a a b", 1), ("a c c", 0)], "t string, y int"), "t", "y")
+    strange = documents(spark, [(1, "none of these is known"), (2, "")])
+    assert toxicity.features(strange, few).count() == 2
     sizes = []
     for n in (200, 2000):
         train = [(" ".join(f"w{rng.randrange(10**5)}" for _ in range(20)), i % 2) for i in range(n)]

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 SCHEMA = "bucket int, kind int, batch long, data binary"
 #: Buckets for each task that receives them, so that tasks get about as much.
 EACH = 4
+#: Bytes of packed rows that a task hands over at once.
+SENT = 1 << 21
 
 
 def pack(*columns: tuple[np.ndarray, int]) -> bytes:
@@ -48,6 +50,8 @@ def ranges(ids: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, slic
 
     The 24 leading bits decide, so that there can be 2^24 buckets.
     """
+    if not len(ids):
+        return
     shift = ids.dtype.type(bits - 24)
     each = ((ids >> shift).astype(np.int64) * buckets) >> 24
     starts = np.flatnonzero(np.diff(each, prepend=-1))
@@ -55,10 +59,15 @@ def ranges(ids: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, slic
         yield int(each[i]), slice(int(i), int(j))
 
 
-def rows(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    """(bucket, kind, batch, data) rows."""
+def rows(found: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(bucket, kind, batch, data) rows, in batches of about ``SENT`` bytes."""
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)], ["bucket", "kind", "batch", "data"])
+    begin = size = 0
+    for i, row in enumerate(found, 1):
+        size += len(row[3])
+        if size >= SENT or i == len(found):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found[begin:i]], kind) for k, kind in enumerate(kinds)], ["bucket", "kind", "batch", "data"])
+            begin, size = i, 0
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:

@@ -6,7 +6,9 @@ other character belongs to a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ MIX_A, MIX_B = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 #: Texts are worked on in pieces of about this many bytes, so that temporary arrays stay small.
 PIECE = 1 << 20
 #: A worker's word cache is emptied beyond this many entries.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -66,6 +68,29 @@ def pieces(texts: Iterable[str | None], limit: int = PIECE) -> Iterator[tuple[in
         yield first, run
 
 
+def text_pieces(texts: pa.Array, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
+    """``pieces`` of an Arrow column, of which only some rows at a time become Python strings."""
+    for at in range(0, len(texts), rows):
+        for first, some in pieces(texts.slice(at, rows).to_pylist()):
+            yield at + first, some
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives freed memory back to the system when it ends: workers outlive their tasks."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
 

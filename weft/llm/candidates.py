@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from weft.llm import _packed
 from weft.llm._scratch import drop, reads, stored
-from weft.llm._text import MIX_B, U64, list_array, mix
+from weft.llm._text import MIX_B, U64, lean, list_array, mix
 from weft.llm.components import components
 
 SMALL = 12
@@ -40,7 +40,7 @@ SAMPLED, HOT, HOT_SHARE = 256, 8, 200
 #: Minima in the signature by which unsettled ids are sorted, and following ids that each one meets.
 SIGNS, NEXT = 8, 4
 #: Rows that a task holds before it sends them, and rows for each range of keys.
-FLUSH, RANGE = 1_000_000, 1_000_000
+FLUSH, RANGE = 500_000, 1_000_000
 
 Keys = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]
 _SEEDS = mix(np.arange(1, SIGNS + 1, dtype=U64) * MIX_B)
@@ -50,7 +50,7 @@ def _sender(keys: Keys, ranges: int, hot: list[int]):
     """Batches -> distinct (key, id) rows of a task by ranges of keys; of hot keys by ranges of ids."""
     heavy = np.array(sorted(hot), np.int64).view(np.uint64)
 
-    def passed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def passed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, at = (np.concatenate([h[i] for h in held]).view(np.uint64) for i in (0, 1))
         found = []
         for kind, (low, high) in enumerate(((key, at), (at, key))):
@@ -71,6 +71,7 @@ def _sender(keys: Keys, ranges: int, hot: list[int]):
                 found.append((n, kind, 0, _packed.pack((_packed.steps(low[part]), 8), (high[part], 8))))
         return _packed.rows(found)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -78,14 +79,15 @@ def _sender(keys: Keys, ranges: int, hot: list[int]):
                 held.append((key, at))
                 size += len(key)
                 if size >= FLUSH:
-                    yield passed_on(held)
+                    yield from passed_on(held)
                     held, size = [], 0
         if size:
-            yield passed_on(held)
+            yield from passed_on(held)
 
     return run
 
 
+@lean
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct rows of keys with more than one id, and of hot keys."""
     for _, rows in _packed.grouped(batches):

@@ -44,7 +44,7 @@ from pyspark.sql.window import Window
 
 from weft.llm import _packed
 from weft.llm._scratch import drop, released, stored, unused
-from weft.llm._text import CACHE, MIX_A, MIX_B, U64, WordHashes, mix, pieces, words_of
+from weft.llm._text import CACHE, MIX_A, MIX_B, U64, WordHashes, lean, mix, text_pieces, words_of
 
 WORD_BITS, PAIR_BITS = 40, 48  # of the numbers of words, and of pairs while they are counted
 DISCOUNT = 0.75
@@ -54,8 +54,9 @@ EVIDENT = 2.0
 FEATURES = ("pairs", "words", "window", "excess", "length")
 #: Characters of text for each bucket of pairs, and the least number of buckets.
 BUCKET, BUCKETS = 4_000_000, 32
-#: Words that a task holds before it passes its counts or pairs on, and texts (their numbers take two bytes).
-FLUSH, TEXTS = 2_000_000, 60_000
+#: Words that a task holds before it passes its counts on, words before it passes its texts' pairs on, and texts
+#: (a text's number takes two bytes, beside the pair's at most 48 bits).
+COUNTED, FLUSH, TEXTS = 500_000, 2_000_000, 60_000
 #: Words up to which the word table is broadcast (about 32 bytes each).
 WORDS = 4_000_000
 #: Steps of a pair's gain in one unit.
@@ -75,13 +76,18 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS
 
 
+def word_id(word: bytes) -> int:
+    """40 bits of a word's hash, never 0, which is a text's boundary."""
+    return (xxhash.xxh64_intdigest(word) >> (64 - WORD_BITS)) or 1
+
+
 class WordIds(WordHashes):
-    """word -> 40 bits of its hash, never 0, which is a text's boundary."""
+    """word -> ``word_id``."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
-        value = self[word] = (xxhash.xxh64_intdigest(word) >> (64 - WORD_BITS)) or 1
+        value = self[word] = word_id(word)
         return value
 
 
@@ -118,7 +124,7 @@ def _summed(v: np.ndarray, w: np.ndarray, *counts: np.ndarray) -> list[np.ndarra
 def _counter(buckets: int):
     """(text, toxic) -> pair counts by bucket, summed in the task."""
 
-    def passed_on(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def passed_on(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         v, w, toxic = (np.concatenate([h[i] for h in held]) for i in range(3))
         v, w, n, of = _summed(v, w, np.ones(len(v), np.int64), toxic)
         ids = pair_ids(v, w)
@@ -129,19 +135,20 @@ def _counter(buckets: int):
             found.append((bucket, PAIRS, 0, _packed.pack((_packed.steps(v[rows]), 5), (w[rows], 5), (of[rows], 6), (n[rows] - of[rows], 6))))
         return _packed.rows(found)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             labels = np.array(batch.column(1).to_pylist(), np.int64)
-            for first, texts in pieces(batch.column(0).to_pylist()):
+            for first, texts in text_pieces(batch.column(0)):
                 v, w, n = _pairs_of([words_of(t) for t in texts])
                 held.append((v, w, np.repeat(labels[first : first + len(texts)], n)))
                 size += len(v)
-                if size >= FLUSH:
-                    yield passed_on(held)
+                if size >= COUNTED:
+                    yield from passed_on(held)
                     held, size = [], 0
         if size:
-            yield passed_on(held)
+            yield from passed_on(held)
 
     return run
 
@@ -149,6 +156,7 @@ def _counter(buckets: int):
 def _merger(buckets: int):
     """Pair counts of a bucket as one row, and its words' share of the word counts by range of words."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _packed.grouped(batches):
             parts = [_packed.unpack(data, _PAIR_WIDTHS) for _, _, data in rows]
@@ -160,11 +168,12 @@ def _merger(buckets: int):
             sums = [total(after, toxic), total(after, plain), total(before, toxic > 0), total(before, plain > 0), total(after, np.ones(len(w)))]
             for part, some in _packed.ranges(ids, WORD_BITS, buckets):
                 found.append((part, WORD_COUNTS, 0, _packed.pack((_packed.steps(ids[some]), 5), *((x[some], 6) for x in sums))))
-            yield _packed.rows(found)
+            yield from _packed.rows(found)
 
     return run
 
 
+@lean
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per word: counts by class, distinct words after it by class, distinct words before it."""
     for _, rows in _packed.grouped(batches):
@@ -222,8 +231,12 @@ class Lexicon:
     def pair_ids(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, int]:
         """A number for each pair of known words' rows, spread over all numbers of so many bits."""
         bits = max(12, len(self.ids).bit_length())
-        spread = (v.astype(U64) << U64(bits) | w.astype(U64)) * MIX_A & U64((1 << 2 * bits) - 1)
-        return spread.astype(np.int64), 2 * bits
+        spread = v.astype(U64)
+        spread <<= U64(bits)
+        spread |= w.astype(U64)
+        spread *= MIX_A
+        spread &= U64((1 << 2 * bits) - 1)
+        return spread.view(np.int64), 2 * bits
 
     def gains(self, v: np.ndarray, w: np.ndarray, n: list[np.ndarray]) -> np.ndarray:
         """What counted pairs of known words add to their word's ratio and their context's weight."""
@@ -263,7 +276,7 @@ class Rows(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
-        value = self[word] = int(self.lexicon.rows(np.array([_IDS[word]]))[0])
+        value = self[word] = int(self.lexicon.rows(np.array([word_id(word)]))[0])
         return value
 
 
@@ -278,19 +291,21 @@ def _features(sums: np.ndarray, gains: np.ndarray) -> np.ndarray:
 def _sender(shipped, buckets: int):
     """(key, text) -> the texts' keys and sums in a batch of their own, and their pairs of known words by bucket."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shipped.value
         known, row_of, boundary = len(lexicon.ids), Rows(lexicon), int(lexicon.rows(np.zeros(1, np.int64))[0])
         number = TaskContext.get().partitionId() << 32
         keys: list[bytes] = []
-        sums, befores, words, owners = [], [], [], []
-
-        def passed_on() -> pa.RecordBatch:
-            found = [(((number >> 32) + number) % buckets, KEYS, number, b"".join(keys) + np.concatenate(sums).astype("<f8").tobytes())]
-            pair, bits = lexicon.pair_ids(np.concatenate(befores), np.concatenate(words))
-            owner = np.concatenate(owners)
-            order = np.argsort(pair, kind="stable")
-            pair, owner = pair[order], owner[order]
+        sums, pairs, bits = [], [], 24
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            found = [(((number >> 32) + number) % buckets, KEYS, number, b"".join(keys) + np.concatenate(sums).astype("<f4").tobytes())]
+            pair = np.concatenate(pairs)
+            pairs.clear()
+            pair.sort()
+            owner = (pair & 0xFFFF).astype(np.uint16)
+            pair >>= 16
             for bucket, some in _packed.ranges(pair, bits, buckets):
                 found.append((bucket, OF_TEXTS, number, _packed.pack((_packed.steps(pair[some]), 6), (owner[some], 2))))
             return _packed.rows(found)
@@ -298,20 +313,19 @@ def _sender(shipped, buckets: int):
         size = 0
         for batch in batches:
             of = batch.column(0).to_pylist()
-            for first, texts in pieces(batch.column(1).to_pylist()):
+            for first, texts in text_pieces(batch.column(1)):
                 if keys and (size >= FLUSH or len(keys) + len(texts) > TEXTS):
-                    yield passed_on()
-                    keys, sums, befores, words, owners, size, number = [], [], [], [], [], 0, number + 1
+                    yield from passed_on()
+                    keys, sums, pairs, size, number = [], [], [], 0, number + 1
                 v, w, n = _pairs_of([words_of(t) for t in texts], row_of, boundary)
                 sums.append(lexicon.summed(v, w, n))
                 both = (v < known) & (w < known)
-                befores.append(v[both].astype(np.int32))
-                words.append(w[both].astype(np.int32))
-                owners.append(np.repeat(np.arange(len(keys), len(keys) + len(texts), dtype=np.int32), n)[both])
+                pair, bits = lexicon.pair_ids(v[both], w[both])
+                pairs.append(pair << 16 | np.repeat(np.arange(len(keys), len(keys) + len(texts)), n)[both])
                 keys += of[first : first + len(texts)]
                 size += len(v)
         if keys:
-            yield passed_on()
+            yield from passed_on()
 
     return run
 
@@ -319,6 +333,7 @@ def _sender(shipped, buckets: int):
 def _gains(shipped, buckets: int):
     """Counted pairs -> the gains of those of known words, by bucket."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shipped.value
         for batch in batches:
@@ -331,11 +346,12 @@ def _gains(shipped, buckets: int):
                 pair, bits = lexicon.pair_ids(v, w)
                 order = np.argsort(pair)
                 pair, gains = pair[order], gains[order]
-                yield _packed.rows([(bucket, PAIRS, 0, _packed.pack((_packed.steps(pair[some]), 6), (gains[some], 2))) for bucket, some in _packed.ranges(pair, bits, buckets)])
+                yield from _packed.rows([(bucket, PAIRS, 0, _packed.pack((_packed.steps(pair[some]), 6), (gains[some], 2))) for bucket, some in _packed.ranges(pair, bits, buckets)])
 
     return run
 
 
+@lean
 def _receiver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bucket, kind): gains first, then texts' pairs, whose gains are summed by text."""
     bucket, parts, known, gains = None, [], np.zeros(0, np.int64), np.zeros(0)
@@ -363,9 +379,10 @@ def _receiver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts = np.flatnonzero(sums)
                 if len(texts):
                     found.append((at, SUMS, number, _packed.pack((_packed.steps(texts), 2), (sums[texts].astype(np.float16).view(np.uint16), 2))))
-        yield _packed.rows(found)
+        yield from _packed.rows(found)
 
 
+@lean
 def _finisher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (batch, kind): each text's key and features."""
     number, keys, sums, gains = None, [], np.zeros((0, 5)), np.zeros(0)
@@ -379,9 +396,9 @@ def _finisher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at != number:
                 if keys:
                     yield out()
-                n = len(data) // (16 + 5 * 8)
+                n = len(data) // (16 + 5 * 4)
                 number, keys = at, [data[i * 16 : i * 16 + 16] for i in range(n)]
-                sums, gains = np.frombuffer(data, "<f8", offset=n * 16).reshape(n, 5), np.zeros(n)
+                sums, gains = np.frombuffer(data, "<f4", offset=n * 16).reshape(n, 5).astype(np.float64), np.zeros(n)
             if kind == SUMS:
                 texts, sums_of = _packed.unpack(data, (2, 2))
                 gains[np.cumsum(texts)] += sums_of.astype(np.uint16).view(np.float16)
