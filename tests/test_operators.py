@@ -1,7 +1,12 @@
 """Golden rows and edge cases of operators that SQL does not cover."""
 
+import gzip
+import hashlib
+import itertools
+import lzma
 import math
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +240,81 @@ def test_similar_pairs_read_every_part(spark, tmp_path):
         whole = queries()[key](spark, "/root/testdata/sf0.01")
         assert difference(whole, oracles()[key], "/root/testdata/sf0.01") == ""
         assert whole.filter("jd >= 300").count() > 0
+
+
+def test_a_missing_table_is_empty_with_a_reason(spark, tmp_path):
+    df, reason = readers.probed(spark, str(tmp_path / "none.parquet"), "a long")
+    assert (df.count(), df.columns, reason) == (0, ["a"], "path does not exist")
+    df, reason = readers.probed(spark, "nowhere://x/y", "a long")
+    assert df.count() == 0
+    assert reason
+    spark.range(3).write.parquet(str(tmp_path / "some"))
+    df, reason = readers.probed(spark, str(tmp_path / "some"), "id long")
+    assert (df.count(), reason) == (3, None)
+
+
+def test_empty_files_are_skipped(spark, tmp_path):
+    (tmp_path / "a.parquet").write_bytes(b"")
+    (tmp_path / "b.parquet").write_bytes(b"x")
+    (tmp_path / "c.txt").write_bytes(b"x")
+    assert [f.rsplit("/", 1)[-1] for f in readers.non_empty_files(spark, str(tmp_path), "*.parquet")] == ["b.parquet"]
+
+
+def test_csv_plain_and_zipped(spark, tmp_path):
+    text = "\ufeffname,said\nann,\"one\ntwo, three\"\nbob,\n"
+    (tmp_path / "x.csv").write_text(text, "utf-8")
+    assert [(r["name"], r["said"]) for r in readers.read_csv(spark, str(tmp_path / "x.csv")).collect()] == [("ann", "one\ntwo, three"), ("bob", None)]
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as archive:
+        archive.writestr("dev/x.csv", text)
+        archive.writestr("train/x.csv", text)
+        archive.writestr("notes.txt", "no")
+    rows = readers.read_zipped_csv(spark, str(tmp_path / "x.zip"), r"dev/.*\.csv").collect()
+    assert [(r.member, r.row, r.fields) for r in rows] == [("dev/x.csv", 0, {"name": "ann", "said": "one\ntwo, three"}), ("dev/x.csv", 1, {"name": "bob", "said": ""})]
+
+
+def test_restore_checks_what_it_reads(spark, tmp_path):
+    data = b"one\ntwo\n"
+    (tmp_path / "x.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "y.xz").write_bytes(lzma.compress(data))
+    want = (len(data), 2, hashlib.sha256(data).hexdigest())
+    rows = readers.restored(spark, f"{tmp_path}/*.[gx]z", {"x.gz": want, "y.xz": want}).collect()
+    assert sorted((r.file, r.row, r.value) for r in rows) == [(f, i, v) for f in ("x.gz", "y.xz") for i, v in enumerate(("one", "two"))]
+    with pytest.raises(Exception, match="expected"):
+        readers.restored(spark, f"{tmp_path}/x.gz", {"x.gz": (9, 2, want[2])}).collect()
+
+
+def test_cached_tables_are_built_once(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(4)
+
+    for _ in range(3):
+        assert readers.cached(spark, str(tmp_path / "t"), build).count() == 4
+    assert len(built) == 1
+
+
+def test_injected_functions(spark):
+    df = spark.createDataFrame([(1, ["ab", "c"], ["x", "ab", "C"])], "k int, g array<string>, p array<string>")
+    same = lambda a, b: float(a.lower() == b.lower())
+    assert [tuple(x) for x in df.select(metrics.matched_by(same)("g", "p").alias("m")).first().m] == [(0, 1), (1, 2)]
+    rows = spark.createDataFrame([("a", 1, 2.0), ("a", 0, 6.0), ("b", 1, 5.0), ("b", 9, 5.0)], "k string, v int, w double")
+    rates = metrics.rate_by(rows, ["k"], lambda t: t["v"] == 1, lambda t: t["v"] < 5, "w")
+    assert {r.k: r.rate for r in rates.collect()} == {"a": 0.25, "b": 1.0}
+    assert {r.k: r.top for r in metrics.aggregate_by(rows, ["k"], ["v", "w"], lambda v, w: (v * w).max(), "top").collect()} == {"a": 2.0, "b": 45.0}
+
+
+def test_chain_score_of_ties(spark):
+    """Against the best of all order-preserving matchings, by enumeration."""
+    rng = random.Random(5)
+    for _ in range(60):
+        gold, pred = ([rng.choice(("a b", "a c", "c", "d")) for _ in range(rng.randrange(0, 5))] for _ in range(2))
+        pairs = metrics.align(gold, pred, metrics.word_f1)
+        best = 0.0
+        for k in range(min(len(gold), len(pred)) + 1):
+            for left in itertools.combinations(range(len(gold)), k):
+                for right in itertools.combinations(range(len(pred)), k):
+                    best = max(best, sum(metrics.word_f1(gold[i], pred[j]) for i, j in zip(left, right, strict=True)))
+        assert sum(metrics.word_f1(gold[i], pred[j]) for i, j in pairs) == pytest.approx(best)
+        assert pairs == sorted(pairs)

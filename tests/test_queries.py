@@ -24,6 +24,10 @@ def test_every_query_is_documented_by_a_module():
     assert all(fn.__module__.startswith("weft.") for fn in QUERIES.values())
 
 
+def test_every_oracle_is_sql():
+    assert all(type(sql) is str for sql in ORACLES.values())
+
+
 def test_the_entry_point_imports_without_a_session():
     import os
     import subprocess

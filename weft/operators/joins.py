@@ -51,14 +51,24 @@ def prior_match(events: DataFrame, target: Column, source: Column, on: list[str]
     return events.withColumn(name, F.last(F.when(source, F.col(value)), ignorenulls=True).over(w)).filter(target)
 
 
+#: Rows up to which a counted side of a join is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, broadcast if it is counted to hold no more rows than that; beyond, Spark joins it by key."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def gram_candidates(docs: DataFrame, probes: DataFrame, n: int, top: int, least: int) -> DataFrame:
     """Documents by the number of distinct character n-grams they share with a probe, the top ones of each.
 
-    An inverted-index join: both sides are exploded to grams, joined on the gram, and counted.
+    An inverted-index join: both sides are exploded to grams, joined on the gram, and counted.  A probe side
+    of checked size is broadcast, so that only the grams that some probe has are shuffled, as counts.
     """
     d = docs.select("doc_id", F.explode(char_grams(F.col("text"), n)).alias("gram"))
     p = probes.select("item_id", F.explode(char_grams(F.col("text"), n)).alias("gram"))
-    hits = p.join(d, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    hits = d.join(broadcast_if_small(p), "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     w = Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 

