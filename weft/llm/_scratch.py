@@ -27,15 +27,17 @@ def folder(spark: SparkSession) -> str:
     return set_to
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
+def stored(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends here.
 
-    A lost executor costs a re-read of files that every node can see, never a recomputation.
+    A lost executor costs a re-read of files that every node can see, never a recomputation.  With ``by``, rows of
+    each value of that column lie in a folder of their own, which ``drop`` can delete alone.
     """
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/weft-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out = out.select(*df.columns) if by else out
     out._weft_paths = [path]
     return out
 
@@ -46,10 +48,10 @@ def reads(df: DataFrame, *tables: DataFrame) -> DataFrame:
     return df
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of ``stored`` tables that nothing reads any more."""
+def drop(df: DataFrame, part: str = "") -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more, or only those of a ``part`` (column=value)."""
     for path in getattr(df, "_weft_paths", []):
-        spark = df.sparkSession
+        spark, path = df.sparkSession, f"{path}/{part}".rstrip("/")
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

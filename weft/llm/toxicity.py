@@ -56,7 +56,7 @@ FEATURES = ("pairs", "words", "window", "excess", "length")
 BUCKET, BUCKETS = 4_000_000, 32
 #: Words that a task holds before it passes its counts on, words before it passes its texts' pairs on, and texts
 #: (a text's number takes two bytes, beside the pair's at most 48 bits).
-COUNTED, FLUSH, TEXTS = 500_000, 2_000_000, 60_000
+COUNTED, FLUSH, TEXTS = 1_000_000, 4_000_000, 60_000
 #: Words up to which the word table is broadcast (about 32 bytes each).
 WORDS = 4_000_000
 #: Steps of a pair's gain in one unit.
@@ -430,9 +430,10 @@ def counted(train: DataFrame, text: str, label: str) -> Model | None:
     size = train.agg(F.sum(F.length(text))).first()[0] or 0
     buckets = max(BUCKETS, -(-size // BUCKET))
     pairs = train.select(F.col(text), F.col(label).cast("long")).mapInArrow(_counter(buckets), _packed.SCHEMA)
-    pairs = stored(_packed.dealt(pairs, buckets).mapInArrow(_merger(buckets), _packed.SCHEMA), "pairs")
+    pairs = stored(_packed.dealt(pairs, buckets).mapInArrow(_merger(buckets), _packed.SCHEMA), "pairs", by="kind")
     words = _packed.dealt(pairs.filter(F.col("kind") == WORD_COUNTS), buckets)
     words = stored(words.mapInArrow(_words, "id long, n0 long, n1 long, t0 long, t1 long, before long"), "words")
+    drop(pairs, f"kind={WORD_COUNTS}")
     once = F.col("n0") + F.col("n1") == 1
     tokens, kinds = [F.sum(f"n{c}") for c in (0, 1)], [F.count(F.when(F.col(f"n{c}") > 0, 1)) for c in (0, 1)]
     got = words.agg(*tokens, *kinds, *[F.sum(F.when(once, F.col(f"n{c}"))) for c in (0, 1)], F.count("*"), F.count(F.when(~once, 1)), F.sum("before")).first()
