@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips, held-out accuracy and edge cases."""
 
+import math
 import random
 import time
 import zlib
@@ -206,6 +207,37 @@ def exact_neighbours(rows, queries, k=10):
     return out
 
 
+def test_tree_yields_leaves_in_order():
+    points = np.random.default_rng(5).standard_normal((700, 8))
+    points[100:300] = points[7]
+    tree, query = ann.Tree.of(points, 16), points[3] + 0.1
+    gaps, seen = [], []
+    for start, stop in tree.leaves(query, lambda: math.inf):
+        own = points[tree.order[start:stop]]
+        off = np.maximum(np.maximum(own.min(axis=0) - query, query - own.max(axis=0)), 0)
+        gaps.append((off * off).sum())
+        seen += tree.order[start:stop].tolist()
+    assert sorted(seen) == list(range(700)) and gaps == sorted(gaps)
+    near = [x for a, b in tree.leaves(query, lambda: 2.0) for x in tree.order[a:b]]
+    assert set(np.flatnonzero(((points - query) ** 2).sum(axis=1) <= 2)) <= set(near) and len(near) < 700
+
+
+def test_equal_vectors_lose_no_answer():
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((20, 6))[rng.integers(0, 20, 900)]
+    ids = rng.integers(0, 300, 900)  # repeated ids and repeated vectors
+    kept = ann.thinned(ids, vectors, 4)
+    assert len(kept) <= 20 * 8
+    for own in range(0, 300, 7):
+        query = vectors[own]
+
+        def best(some):
+            d = np.sqrt(((vectors[some] - query) ** 2).sum(axis=1))
+            return sorted((x, i) for x, i in zip(d.tolist(), ids[some].tolist(), strict=True) if i != own)[:4]
+
+        assert best(kept) == best(np.arange(900))
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 24)) * 3

@@ -2,10 +2,15 @@
 
 Vectors are projected to ``M`` dimensions by a Gaussian (2-stable) matrix: the squared projected
 distance over the squared true distance is chi-square with M degrees of freedom.  Each task builds
-kd-trees over the projections of at most ``CHUNK`` vectors.  A query takes a tree's leaves in order of
-their least projected distance, verifies their vectors by true distance, and stops when a vector nearer
+kd-trees over the projections of at most ``CHUNK`` numbers' worth of vectors.  A query walks a tree best
+first, from the root, with a heap of boxes by their least projected distance: leaves come out one after the
+other in that order and their vectors are verified by true distance.  The walk ends when a vector nearer
 than its k-th best would have shown itself with probability ``CONFIDENCE``: when the chi-square
-distribution at (next leaf's projected distance / k-th best distance)^2 reaches it.
+distribution at (next box's projected distance / k-th best distance)^2 reaches it.  Boxes beyond are
+never opened, and the k-th best of one tree holds for the task's next.
+
+Equal vectors of a chunk are thinned before the tree: of those, no query can return more than k, the ones of
+least ids other than its own.  Thus a vector that a third of the rows share costs a query no more than another.
 
 Every vector is indexed.  Queries are searched in blocks of ``QUERIES`` (the broadcast part, of bounded
 size); each block is one pass over the vectors, in which a task keeps a query's k best so far and
@@ -21,8 +26,9 @@ candidates the result is empty; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +40,8 @@ from pyspark.sql.window import Window
 from weft.llm._scratch import stored
 
 M = 8  # even: the chi-square distribution then has a closed form
-LEAF = 32
-CHUNK = 16_384
+LEAF = 256
+CHUNK = 1 << 22  # numbers: 65,536 vectors of 64 components, 32 MB
 QUERIES = 4_096
 CONFIDENCE = 0.995
 SEED = 29
@@ -64,34 +70,56 @@ def projection(dimension: int, m: int = M, seed: int = SEED) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """A kd-tree over projected points: its leaves' rows and bounding boxes, in tree order."""
+    """A kd-tree over projected points.
+
+    ``order`` lists the points so that each node's lie together, from ``start`` to ``stop``; ``low`` and ``high`` are the
+    nodes' bounding boxes; an inner node's children are ``child`` and ``child + 1``, a leaf's ``child`` is 0.
+    """
 
-    rows: list[np.ndarray]
+    order: np.ndarray
+    start: list[int]
+    stop: list[int]
     low: np.ndarray
     high: np.ndarray
+    child: list[int]
 
     @classmethod
     def of(cls, points: np.ndarray, leaf: int = LEAF) -> Tree:
-        rows: list[np.ndarray] = []
-        todo = [np.arange(len(points))]
-        while todo:
-            at = todo.pop()
-            if len(at) <= leaf:
-                rows.append(at)
-                continue
+        order = np.arange(len(points))
+        start, stop, child = [0], [len(points)], [0]
+        low, high = [], []
+        node = 0
+        while node < len(start):
+            at = order[start[node] : stop[node]]
             own = points[at]
-            axis = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
-            half = len(at) // 2
-            order = np.argpartition(own[:, axis], half)
-            todo += [at[order[:half]], at[order[half:]]]
-        return cls(rows, np.array([points[r].min(axis=0) for r in rows]), np.array([points[r].max(axis=0) for r in rows]))
-
-    def order(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaves by their least squared distance to a projected query, and those distances."""
-        gap = np.maximum(np.maximum(self.low - query, query - self.high), 0)
-        near = (gap * gap).sum(axis=1)
-        at = np.argsort(near, kind="stable")
-        return at, near[at]
+            low.append(own.min(axis=0))
+            high.append(own.max(axis=0))
+            if len(at) > leaf:
+                axis = int(np.argmax(high[node] - low[node]))
+                half = len(at) // 2
+                order[start[node] : stop[node]] = at[np.argpartition(own[:, axis], half)]
+                child[node] = len(start)
+                start += [start[node], start[node] + half]
+                stop += [start[node] + half, stop[node]]
+                child += [0, 0]
+            node += 1
+        return cls(order, start, stop, np.array(low), np.array(high), child)
+
+    def leaves(self, query: np.ndarray, limit: Callable[[], float]) -> Iterator[tuple[int, int]]:
+        """Leaves (as places in ``order``) by rising least squared distance to a projected query, up to ``limit()``."""
+        heap = [(0.0, 0)]
+        while heap:
+            gap, node = heapq.heappop(heap)
+            if gap > limit():
+                return
+            at = self.child[node]
+            if not at:
+                yield self.start[node], self.stop[node]
+                continue
+            off = np.maximum(np.maximum(self.low[at : at + 2] - query, query - self.high[at : at + 2]), 0)
+            for n, near in enumerate((off * off).sum(axis=1).tolist()):
+                if near <= limit():
+                    heapq.heappush(heap, (near, at + n))
 
 
 class Best:
@@ -113,17 +141,36 @@ class Best:
             self.found[q] = (d[order], i[order])
 
 
+def thinned(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that some query can return, by id.
+
+    A query returns at most k rows of one vector, those of least ids other than its own.  So k rows of each
+    id, and of those the first 2k, are enough: leaving out one id still leaves k.
+    """
+    rows = np.ascontiguousarray(vectors)
+    _, same = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+
+    def nth(*keys: np.ndarray) -> np.ndarray:  # place of each sorted row within its run of equal keys
+        new = np.any([np.r_[True, key[1:] != key[:-1]] for key in keys], axis=0)
+        at = np.arange(len(new))
+        return at - np.maximum.accumulate(np.where(new, at, 0))
+
+    order = np.lexsort((ids, same))
+    order = order[nth(same[order], ids[order]) < k]
+    order = order[nth(same[order]) < 2 * k]
+    return np.sort(order)
+
+
 def search_chunk(ids: np.ndarray, vectors: np.ndarray, queries: tuple[np.ndarray, np.ndarray, np.ndarray], best: Best, matrix: np.ndarray, stop: float) -> None:
     """Searches all queries (ids, vectors, projections) in one chunk of the index."""
+    some = thinned(ids, vectors, best.k)
+    ids, vectors = ids[some], vectors[some]
     tree = Tree.of(vectors @ matrix)
-    blocks = [(ids[r], vectors[r]) for r in tree.rows]
+    ids, vectors = ids[tree.order], vectors[tree.order]
     for q in range(len(queries[0])):
-        leaves, near = tree.order(queries[2][q])
-        for leaf, gap in zip(leaves, near, strict=True):
-            if gap > stop * best.bound(q) ** 2:
-                break
-            own, rows = blocks[leaf]
-            delta = rows - queries[1][q]
+        for start, end in tree.leaves(queries[2][q], lambda q=q: stop * best.bound(q) ** 2):
+            own = ids[start:end]
+            delta = vectors[start:end] - queries[1][q]
             distance = np.sqrt((delta * delta).sum(axis=1))
             other = own != queries[0][q]
             best.add(q, distance[other], own[other])
@@ -140,6 +187,7 @@ def _searcher(shipped, k: int, matrix: np.ndarray, stop: float):
         queries = (ids, vectors, vectors @ matrix)
         best = Best(len(ids), k)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        most = max(CHUNK // vectors.shape[1], 1)
 
         def flush() -> None:
             if held:
@@ -147,9 +195,9 @@ def _searcher(shipped, k: int, matrix: np.ndarray, stop: float):
                 held.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                if held and sum(len(h[0]) for h in held) + part.num_rows > CHUNK:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                if held and sum(len(h[0]) for h in held) + part.num_rows > most:
                     flush()
                 flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 held.append((part.column(0).to_numpy(), flat.reshape(part.num_rows, -1)))
