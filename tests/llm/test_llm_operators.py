@@ -721,6 +721,15 @@ def test_license_base_equals_brute_force(spark):
         ("CC-BY 4.0 cc by", "cc-by"),
         ("see https://www.gnu.org/licenses/gpl-3.0", "gpl-3.0"),
         ("mit dem Hund", ""),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "mit"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", "isc"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "0bsd"),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+        ("you may not use this file except in compliance with the License.", "apache-2.0"),
+        ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "gpl,lgpl-2.1"),
+        ("The Software shall be used for Good, not Evil.", "json"),
+        ("This work is licensed under a Creative Commons Attribution 3.0 Unported", "cc-by,cc-by-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike Licence", "cc-by-sa"),
         (None, ""),
     ],
 )
@@ -732,6 +741,8 @@ def test_license_rules():
     rules = license_scan.rules()
     assert len(rules) > 200
     assert all(0 < r.confidence < 1 for r in rules)
+    bodies = [line.split("|", 2) for line in license_scan.BODIES.strip().splitlines()]
+    assert len(bodies) > 50 and all(keyword in pattern for _, keyword, pattern in bodies)
     many = license_scan.scan("cc by " * 30_000)
     assert many["n_base"] == 30_000
     assert many["last_word"] == 59_998

@@ -102,10 +102,72 @@ vim|vim|vim|vimhelp org uganda
 #: Ways in which a text names a licence: pattern, keyword, priority, confidence.
 FORMS = (
     (r"spdx license identifier {id}", "spdx license identifier", 100, 0.99),
-    (r"(?:licensed|released|distributed|available|published|covered) under (?:the )?(?:terms of (?:the )?)?{name}", " under ", 80, 0.95),
+    (r"(?:licensed|released|distributed|available|published|covered) under (?:the |an? )?(?:terms of (?:the )?)?{name}", " under ", 80, 0.95),
     (r"(?:https?|www)?(?: www)? ?{url}", "URL", 70, 0.9),
     (r"{name} licen[cs]e[ds]?", "licen", 60, 0.85),
 )
+#: Sentences of licence bodies and file headers, by label: label | keyword | pattern (fixed values).
+BODIES = """
+mit|hereby granted|permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit|substantial portions|the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software
+mit|to deal in the software|to deal in the software without restriction
+ncsa|to deal with the software|to deal with the software without restriction
+bsl-1.0|hereby granted|permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+isc|with or without fee|permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+0bsd|with or without fee|permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)
+postgresql|written agreement|permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+hpnd|and its documentation|permission to use copy modify(?: and)?(?: distribute)?(?: and sell)? this software and its documentation for any purpose(?: and)? without fee is hereby granted
+x11|except as contained|except as contained in this notice the names? of [^ ]+(?: [^ ]+){0,12} shall not be used in advertising
+bsd|redistributions of source|redistributions of source code must retain the above copyright notice
+bsd|redistributions in binary|redistributions in binary form must reproduce the above copyright notice
+bsd-3-clause|neither the name|neither the names? of [^ ]+(?: [^ ]+){0,12} nor the names of (?:its|their|any|the) contributors (?:may|can) be used to endorse or promote products
+bsd-4-clause|advertising materials|all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+apache-1.1|end user documentation|the end user documentation included with the redistribution if any must include the following acknowledge?ment
+apache-2.0|this file except|you may not use this file except in compliance with the license
+apache-2.0|as is basis|software distributed under the license is distributed on an as is basis without warranties or conditions of any kind
+apache-2.0|hereby grants to you|each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|except as stated in this section patent) license
+ecl-2.0|educational community|licensed under the educational community license version 2 0
+eupl|this work except|you may not use this work except in compliance with the licen[cs]e
+gpl|can redistribute it|you can redistribute it and or modify it under the terms of the gnu general public license
+lgpl|can redistribute it|you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license
+agpl|can redistribute it|you can redistribute it and or modify it under the terms of the gnu affero general public license
+gpl-2.0|free software foundation|gnu general public license as published by the free software foundation (?:either )?version 2(?: of the license)?
+gpl-3.0|free software foundation|gnu general public license as published by the free software foundation (?:either )?version 3(?: of the license)?
+lgpl-2.0|free software foundation|gnu library general public license as published by the free software foundation (?:either )?version 2(?: of the license)?
+lgpl-2.1|free software foundation|gnu lesser general public license as published by the free software foundation (?:either )?version 2 1(?: of the license)?
+lgpl-3.0|free software foundation|gnu lesser general public license as published by the free software foundation (?:either )?version 3(?: of the license)?
+agpl-3.0|free software foundation|gnu affero general public license as published by the free software foundation (?:either )?version 3(?: of the license)?
+gnu|verbatim copies|everyone is permitted to copy and distribute verbatim copies of this license document
+gfdl|free documentation|permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+mpl-2.0|source code form|this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0
+mpl-1.1|contents of this file|the contents of this file are subject to the mozilla public license version 1 1
+epl-1.0|accompanying materials|the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0
+epl-2.0|accompanying materials|the accompanying materials are made available under the terms of the eclipse public license (?:v(?:ersion)? ?)?2 0
+cddl|contents of this file|the contents of this file are subject to the terms of (?:either )?(?:the gnu general public license version 2 only gpl or )?the common development and distribution license
+zlib|altered source|altered source versions must be plainly marked as such
+zlib|express or implied|this software is provided as is without any express or implied warranty in no event will the authors be held liable
+unlicense|unencumbered|this is free and unencumbered software released into the public domain
+unlicense|anyone is free|anyone is free to copy modify publish use compile sell or distribute this software
+cc0|waived all copyright|to the extent possible under law [^ ]+(?: [^ ]+){0,12} (?:has|have) waived all copyright and related or neighbou?ring rights
+cc-by|this work is licensed|this work is licensed under (?:a|the) creative commons attribution(?= (?:[1-4]|international|unported|generic|licen[cs]e) )
+cc-by-sa|this work is licensed|this work is licensed under (?:a|the) creative commons attribution share ?alike
+cc-by-nd|this work is licensed|this work is licensed under (?:a|the) creative commons attribution no ?deriv(?:ative)?s
+cc-by-nc|this work is licensed|this work is licensed under (?:a|the) creative commons attribution non ?commercial
+ofl-1.1|this font software|this font software is licensed under the sil open font license
+ofl-1.1|fonts and derivatives|the fonts and derivatives however cannot be released under any other type of license
+psf-2.0|psf hereby grants|psf hereby grants licensee a nonexclusive royalty free world ?wide license
+php|includes php|this product includes php software freely available from
+openssl|openssl project|this product includes software developed by the openssl project
+elastic-2.0|managed service|you may not provide the software to third parties as a hosted or managed service
+sspl-1.0|as a service|the functionality of the program or a modified version available to third parties as a service
+busl-1.1|non production use|the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work
+commons-clause|right to sell|the license does not grant to you the right to sell the software
+ms-pl|accept this license|if you use the software you accept this license if you do not accept the license do not use the software
+json|not evil|the software shall be used for good not evil
+beerware|buy me a beer|you can buy me a beer in return
+reserved|may be reproduced|no part of this (?:publication|book|document|work|material) may be reproduced
+proprietary|confidential and proprietary|confidential and proprietary (?:information|property) of
+"""
 #: Rules of no family: label, pattern, keyword, priority, confidence.
 SINGLE = (
     ("gpl", r"(?:gnu )?general public licen[cs]e", "public licen", 50, 0.8),
@@ -120,6 +182,7 @@ SINGLE = (
     ("permissive", r"redistribution and use in source and binary forms", "redistribution and use", 65, 0.8),
     ("no-warranty", r"(?:provided )?as is without warranty of any kind", "without warranty", 20, 0.4),
     ("proprietary", r"proprietary and confidential", "proprietary", 45, 0.7),
+    ("proprietary", r"for internal use only", "internal use only", 35, 0.5),
     ("proprietary", r"unauthorized (?:copying|use|distribution)[a-z ]{0,40} prohibited", "unauthorized", 45, 0.6),
 )
 
@@ -142,6 +205,9 @@ def rules() -> list[Rule]:
         for form, keyword, priority, confidence in FORMS:
             keyword = host if keyword == "URL" else keyword
             out.append(Rule(label, form.replace("{id}", ident).replace("{name}", f"(?:{name})").replace("{url}", url), keyword, priority, confidence))
+    for line in BODIES.strip().splitlines():
+        label, keyword, pattern = line.split("|", 2)
+        out.append(Rule(label, pattern, keyword, 90, 0.95))
     out += [Rule(*x) for x in SINGLE]
     out += [Rule(label, re.escape(phrase).replace(r"\ ", " "), phrase, 10, 0.6) for phrase, label in BASE.items()]
     return sorted(out, key=lambda r: -r.priority)
