@@ -337,7 +337,15 @@ def relevance_topk(spark, sf_dir):
     return rows.select("user_id", "event_id", score.alias("score")).filter("score >= 0.3").withColumn("r", F.row_number().over(w)).filter("r <= 3").drop("r")
 
 
-@query("evidence_rank")
+@query(
+    "evidence_rank",
+    """WITH d AS (SELECT DISTINCT doc_id, source, substr(text, i, 14) AS gram FROM documents, unnest(range(1, length(text) - 12)) t(i) WHERE length(text) >= 14),
+       p AS (SELECT DISTINCT item_id, substr(text, i, 14) AS gram FROM benchmark, unnest(range(1, length(text) - 12)) t(i) WHERE length(text) >= 14),
+       h AS (SELECT * FROM d JOIN p USING (gram)), r AS (SELECT gram, count(DISTINCT doc_id) AS df FROM h GROUP BY 1),
+       s AS (SELECT item_id, doc_id, source, round(sum(1 / log2(df + 1)), 6) AS score FROM h JOIN r USING (gram) GROUP BY ALL),
+       q AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) <= 2)
+       SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM q QUALIFY rank <= 5""",
+)
 def evidence_rank(spark, sf_dir):
     """History evidence for a probe by the inverse document frequency of shared n-grams, with quotas per source."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
@@ -444,7 +452,13 @@ def verify_extractive(spark, sf_dir):
     return checked.select("user_id", (F.size(F.array_except("items", "known")) == 0).alias("quoted"), (F.col("days") == F.array_sort("days")).alias("ordered"), (F.size("items") == F.col("n")).alias("complete"))
 
 
-@query("mc_build")
+@query(
+    "mc_build",
+    """WITH g AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority))[1:2] AS good FROM orders GROUP BY 1),
+       o AS (SELECT *, list_concat(good, list_filter(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW', '6-NONE'], lambda x: NOT list_contains(good, x))[1:1]) AS every FROM g),
+       s AS (SELECT o_custkey, good, list_transform(list_sort(list_transform(every, lambda x: {'h': sha256(o_custkey::VARCHAR || x), 'o': x})), lambda x: x.o) AS options FROM o)
+       SELECT o_custkey, options, array_to_string(list_transform(good, lambda x: substr('ABC', list_position(options, x), 1)), '') AS answer FROM s""",
+)
 def mc_build(spark, sf_dir):
     """Multiple choice from chains: supporting ones and a distractor, letters by hash order."""
     own = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")

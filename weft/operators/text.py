@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.functions.expr import char_grams, first_match, hash_rank, jaccard, r6, ratio, regexp_groups
+from weft.functions.expr import char_grams, first_match, hash_rank, hash_rank_sql, jaccard, r6, ratio, regexp_groups
 from weft.registry import query
 from weft.sources.tables import table
 
@@ -283,7 +283,12 @@ def strip_block_query(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", strip_block(think_text()).alias("stripped"))
 
 
-@query("reasoning_status")
+@query(
+    "reasoning_status",
+    f"""WITH x AS (SELECT conv_id, turn, {_THINK} AS t FROM conversations), c AS (SELECT *, len(regexp_extract_all(t, '<think>')) AS opens, len(regexp_extract_all(t, '</think>')) AS closes FROM x)
+        SELECT conv_id, turn, CASE WHEN opens <> closes THEN 'malformed_think' WHEN opens > 1 THEN 'nested_think' WHEN opens = 0 THEN 'no_think' WHEN strpos(t, '</think>') < strpos(t, '<think>') THEN 'malformed_think'
+        WHEN trim(split_part(t, '</think>', 2)) = '' THEN 'no_final' ELSE 'closed_think' END AS status FROM c""",
+)
 def reasoning_status_query(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", reasoning_status(think_text()).alias("status"))
 
@@ -309,22 +314,40 @@ def answer_extract(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", extract_letters(answer_text()).alias("letters"))
 
 
-@query("answer_strict")
+@query(
+    "answer_strict",
+    rf"""WITH x AS (SELECT conv_id, turn, {_ANSWER} AS t FROM conversations),
+        a AS (SELECT *, list_distinct(list_transform(regexp_extract_all(t, '(?i)answer\s*(?:is|:)\s*\(?([A-D])\b', 1), lambda c: upper(c))) AS kinds, upper(regexp_extract(string_split(trim(t), chr(10))[-1], '(?i)answer\s*(?:is|:)\s*\(?([A-D])\b', 1)) AS last FROM x)
+        SELECT conv_id, turn, CASE WHEN len(kinds) = 1 AND last = kinds[1] AND NOT regexp_matches(t, '(?i)(not|isn''t|maybe|perhaps|unsure)[^.\n]{{0,20}}answer|answer[^.\n]{{0,12}}(is not|may be|could be)') THEN last END AS letter FROM a""",
+)
 def answer_strict(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", strict_answer(answer_text()).alias("letter"))
 
 
+_CHOICE = """WITH x AS (SELECT p_partkey, concat_ws(chr(10), 'Which part is ' || p_type || '?', '(A) ' || p_name, 'B. ' || p_brand, 'C) ' || p_type, CASE WHEN p_partkey % 3 > 0 THEN 'D: ' || p_size END) AS t FROM part)"""
+#: Letters and texts of the option lines of ``t``.
+_OPTIONS = r"""regexp_extract_all(t, '(?m)^[ \t]*\(?([A-D])[.):][ \t]*(\S[^\n]*)$', {group})"""
+
+
 def choice_text() -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Which part is "), F.col("p_type"), F.lit("?")), F.concat(F.lit("(A) "), F.col("p_name")), F.concat(F.lit("B. "), F.col("p_brand")), F.concat(F.lit("C) "), F.col("p_type")), F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("D: "), F.col("p_size").cast("string"))))
 
 
-@query("mc_parse")
+@query(
+    "mc_parse",
+    rf"""{_CHOICE}, o AS (SELECT *, {_OPTIONS.format(group=1)} AS l, list_transform({_OPTIONS.format(group=2)}, lambda v: lower(v)) AS v FROM x)
+        SELECT p_partkey, trim(regexp_replace(t, '(?s)(?:^|\n)[ \t]*\(?A[.):].*$', '')) AS stem, array_to_string(l, '') AS letters,
+        list_filter([CASE WHEN len(l) < 4 THEN 'few_options' END, CASE WHEN NOT starts_with(array_to_string(l, ''), 'ABCD') THEN 'order' END, CASE WHEN len(list_distinct(v)) < len(v) THEN 'repeated_option' END], lambda c: c IS NOT NULL) AS codes FROM o""",
+)
 def mc_parse(spark, sf_dir):
     parsed = parse_choice(choice_text())
     return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in parsed.items()])
 
 
-@query("option_runs")
+@query(
+    "option_runs",
+    rf"""{_CHOICE}, d AS (SELECT p_partkey, concat_ws(chr(10), t, t) AS t FROM x) SELECT p_partkey, regexp_extract_all(array_to_string({_OPTIONS.format(group=1)}, ''), 'ABCD?') AS runs FROM d""",
+)
 def option_runs_query(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", option_runs(F.concat_ws("\n", choice_text(), choice_text())).alias("runs"))
 
@@ -396,7 +419,11 @@ def clean_caption(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).filter(is_list | (F.length("raw") >= 10)).select("p_partkey", cleaned.alias("caption"))
 
 
-@query("augment_text")
+@query(
+    "augment_text",
+    rf"""WITH h AS (SELECT doc_id, text, {hash_rank_sql('augment', 'doc_id')} AS h FROM documents)
+        SELECT doc_id, CASE WHEN h % 2 = 0 THEN substr(text, 1, (length(text) * (50 + h % 50)) // 100) ELSE regexp_replace(text, '^[^.]*\. ?', '') END AS text FROM h""",
+)
 def augment_text(spark, sf_dir):
     """Rule augmentation by hash: a cut, or a phrase left out."""
     h = hash_rank("augment", "doc_id")
@@ -459,13 +486,21 @@ def keywords_query(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(keywords(F.col("text"))).alias("words"))
 
 
-@query("content_text")
+@query(
+    "content_text",
+    """SELECT conv_id, turn, concat_ws(chr(10), nullif(role, ''), nullif(text, '')) AS text FROM conversations""",
+)
 def content_text_query(spark, sf_dir):
     parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("role").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
     return turns(spark, sf_dir).select("conv_id", "turn", content_text(parts).alias("text"))
 
 
-@query("json_key_paths")
+@query(
+    "json_key_paths",
+    r"""WITH j AS (SELECT event_id, json_object('kind', event_type, 'meta', json_object('label', value, 'rows', [json_object('u', user_id)])) AS j FROM events),
+       p AS (SELECT event_id, regexp_replace(replace(fullkey, '$.', ''), '\[\d+\]', '[]', 'g') AS path FROM j, json_tree(j.j) t WHERE t.key IS NOT NULL AND NOT regexp_matches(fullkey, '\]$') AND fullkey <> '$')
+       SELECT event_id, list_sort(list(DISTINCT path)) AS paths FROM p GROUP BY 1""",
+)
 def json_key_paths_query(spark, sf_dir):
     nested = F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(F.col("value").alias("label"), F.array(F.struct(F.col("user_id").alias("u"))).alias("rows")).alias("meta")))
     return table(spark, sf_dir, "events").select("event_id", json_key_paths(nested).alias("paths"))

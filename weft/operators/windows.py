@@ -184,7 +184,14 @@ def cap_per_group(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "source").withColumn("r", F.row_number().over(w)).filter("r <= 7").drop("r")
 
 
-@query("greedy_caps")
+@query(
+    "greedy_caps",
+    f"""WITH RECURSIVE o AS (SELECT doc_id, source, lang, row_number() OVER (ORDER BY {hash_rank_sql('greedy', 'doc_id')}, doc_id) AS n FROM documents),
+        c AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS sources, []::VARCHAR[] AS langs, NULL::BIGINT AS doc_id, true AS took
+              UNION ALL SELECT n, CASE WHEN took THEN list_append(sources, source) ELSE sources END, CASE WHEN took THEN list_append(langs, lang) ELSE langs END, doc_id, took
+              FROM (SELECT o.n, o.doc_id, source, lang, sources, langs, len(list_filter(sources, lambda x: x = source)) < 6 AND len(list_filter(langs, lambda x: x = lang)) < 30 AS took FROM c JOIN o ON o.n = c.n + 1 WHERE len(sources) < 80))
+        SELECT o.doc_id, o.source, o.lang FROM c JOIN o USING (doc_id) WHERE took""",
+)
 def greedy_caps_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang").withColumn("h", hash_rank("greedy", "doc_id"))
     return greedy_caps(docs, ["h", "doc_id"], {"source": 6, "lang": 30}, 80).drop("h")
@@ -199,7 +206,14 @@ def per_key_cap(spark, sf_dir):
 LEVELS = {"view": 1, "click": 2, "signup": 3, "purchase": 4}
 
 
-@query("chain_increasing")
+@query(
+    "chain_increasing",
+    f"""WITH RECURSIVE t AS (SELECT user_id, event_id, ts::DATE AS day, item, CASE action WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END AS level, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ({TIMELINE})),
+        c AS (SELECT user_id, n, level, day, [item] AS items, [event_id] AS event_ids FROM t WHERE n = 1
+              UNION ALL SELECT user_id, n, CASE WHEN took THEN level ELSE l0 END, CASE WHEN took THEN day ELSE d0 END, CASE WHEN took THEN list_append(items, item) ELSE items END, CASE WHEN took THEN list_append(event_ids, event_id) ELSE event_ids END
+              FROM (SELECT t.*, c.level AS l0, c.day AS d0, items, event_ids, t.level > c.level AND t.day > c.day AND NOT list_contains(items, t.item) AS took FROM c JOIN t ON t.user_id = c.user_id AND t.n = c.n + 1))
+        SELECT user_id, len(event_ids)::INTEGER AS n, event_ids FROM c WHERE len(event_ids) >= 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY c.n DESC) = 1""",
+)
 def chain_increasing(spark, sf_dir):
     level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in LEVELS.items() for x in p]), F.col("action")), F.lit(0))
     chains = increasing_chain(timeline(spark, sf_dir), ["user_id"], level, 3)
@@ -267,7 +281,13 @@ def timeline_text_query(spark, sf_dir):
     return timeline_text(timeline(spark, sf_dir), "user_id")
 
 
-@query("grouped_render")
+@query(
+    "grouped_render",
+    f"""WITH t AS ({TIMELINE}), l AS (SELECT user_id, arg_max(domain, (ts, event_id)) AS target FROM t GROUP BY 1),
+        k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY user_id, domain ORDER BY ts DESC, event_id DESC) <= 4),
+        b AS (SELECT user_id, domain, string_agg(item::VARCHAR, ' ' ORDER BY ts, event_id) AS items FROM k GROUP BY 1, 2)
+        SELECT user_id, string_agg(domain || ': ' || items, chr(10) ORDER BY domain = target, domain) AS text FROM b JOIN l USING (user_id) GROUP BY 1""",
+)
 def grouped_render(spark, sf_dir):
     """A block per domain with its latest items, the target's domain last."""
     events = timeline(spark, sf_dir)

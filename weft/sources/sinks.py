@@ -56,7 +56,7 @@ def markdown_table(header: list[str], rows: list[list]) -> str:
     return "\n".join([line(header), line(["---"] * len(header)), *map(line, rows)])
 
 
-@query("to_json_canonical")
+@query("to_json_canonical", "SELECT n_nationkey, json_object('n_name', n_name, 'n_nationkey', n_nationkey, 'n_regionkey', n_regionkey)::VARCHAR AS json FROM nation")
 def to_json_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     return nation.select("n_nationkey", canonical_json(nation).alias("json"))
