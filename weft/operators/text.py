@@ -217,7 +217,8 @@ SCRIPTS = {"latin": r"[A-Za-z\x{00C0}-\x{024F}]", "han": r"[\x{4E00}-\x{9FFF}]",
 
 
 def script_count(text: Column, script: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, SCRIPTS[script], ""))
+    """Characters of a script: what is left out of the text when its runs of that script are."""
+    return F.length(text) - F.length(F.regexp_replace(text, SCRIPTS[script] + "+", ""))
 
 
 def script_ratio(text: Column, script: str) -> Column:
@@ -225,9 +226,13 @@ def script_ratio(text: Column, script: str) -> Column:
 
 
 def language_bucket(text: Column) -> Column:
-    counts = {s: script_count(text, s) for s in SCRIPTS}
-    letters = counts["latin"] + counts["han"] + counts["cyrillic"] + counts["arabic"]
-    return F.when(letters == 0, "none").when(counts["han"] >= 0.3 * letters, "zh").when(counts["cyrillic"] >= 0.5 * letters, "ru").when(counts["arabic"] >= 0.5 * letters, "ar").when(counts["latin"] >= 0.5 * letters, "latin").otherwise("mixed")
+    """Bucket by the shares of the scripts among the letters; each script is counted once a text, as a field of one struct."""
+
+    def bucket(n: Column) -> Column:
+        letters = n["latin"] + n["han"] + n["cyrillic"] + n["arabic"]
+        return F.when(letters == 0, "none").when(n["han"] >= 0.3 * letters, "zh").when(n["cyrillic"] >= 0.5 * letters, "ru").when(n["arabic"] >= 0.5 * letters, "ar").when(n["latin"] >= 0.5 * letters, "latin").otherwise("mixed")
+
+    return F.transform(F.array(F.struct(*[script_count(text, s).alias(s) for s in SCRIPTS])), bucket)[0]
 
 
 def tag_tokens(text: Column) -> Column:
