@@ -45,9 +45,13 @@ def register_dataset(df: DataFrame, name: str) -> None:
 
 
 def audit_row(df: DataFrame, key: str, total: str) -> DataFrame:
-    """Counts, bounds and an order-independent hash of a table's keys, as one row."""
-    digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("long")
-    return df.agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.min(key).alias("min_key"), F.max(key).alias("max_key"), F.sum(total).cast("long").alias("total"), F.sum(digest).cast("decimal(38,0)").cast("string").alias("digest"))
+    """Counts, bounds and an order-independent hash of a table's keys, as one row.
+
+    Sums are decimals: some 65,536 hashes of 48 bits are more than a long holds.
+    """
+    exact = lambda c: F.sum(c.cast("decimal(20,0)"))
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10)
+    return df.agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.min(key).alias("min_key"), F.max(key).alias("max_key"), exact(F.col(total)).cast("long").alias("total"), exact(digest).cast("string").alias("digest"))
 
 
 def markdown_table(header: list[str], rows: list[list]) -> str:
