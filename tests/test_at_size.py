@@ -1,6 +1,9 @@
 """Results that must hold on tables of many rows and of many files."""
 
 import hashlib
+import random
+
+import duckdb
 
 from tests.oracle import difference
 from weft.catalogue import oracles, queries
@@ -22,3 +25,19 @@ def test_rows_are_numbered_over_all_files_of_a_table(spark, tmp_path):
     one = str(tmp_path / "one.parquet")
     spark.range(10).write.parquet(one)
     assert [r.place for r in readers.with_table_row(spark.read.parquet(one).filter("id >= 0"), "place").orderBy("id").collect()] == list(range(10))
+
+
+def test_paired_delta_sums_in_the_order_of_the_rows(spark, tmp_path):
+    """Parts whose two means are equal on paper, and one without discounts, in eight files."""
+    rng, where = random.Random(3), str(tmp_path / "lineitem.parquet")
+    rows = [(9999, None, "F"), (9999, 0.1, "O")]
+    for part in range(300):
+        some = [rng.randrange(11) / 100 for _ in range(rng.randrange(3, 40))]
+        rows += [(part, x, "F") for x in some] + [(part, x, "O") for x in rng.sample(some, len(some))] + [(part, 0.5, "X")]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "l_partkey long, l_discount double, l_linestatus string").repartition(8).write.parquet(where)
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{where}/*.parquet'")
+    sql = con.execute(oracles()["paired_delta"]).fetchall()
+    assert sorted(map(tuple, queries()["paired_delta"](spark, str(tmp_path)).select("l_partkey", "delta", "kind").collect()), key=str) == sorted(sql, key=str)

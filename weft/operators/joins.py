@@ -256,12 +256,20 @@ def pairs_concordance(spark, sf_dir):
        SELECT l_partkey, round(cand - base, 6) + 0.0 AS delta, CASE WHEN cand > base THEN 'gain' WHEN cand < base THEN 'loss' ELSE 'same' END AS kind FROM a JOIN b USING (l_partkey)""",
 )
 def paired_delta(spark, sf_dir):
-    """Two reports aligned row by row, from one scan."""
+    """Two reports aligned row by row, from one scan.
+
+    Sums run in the order of the table's rows, as the SQL's do on one thread: means that are equal on paper come
+    out alike or not by the order of their addends, and so does ``kind``.
+    """
     lines = table(spark, sf_dir, "lineitem", "l_partkey", "l_discount", "l_linestatus")
-    mean = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_discount")))
-    both = lines.groupBy("l_partkey").agg(mean("F").alias("base"), mean("O").alias("cand")).dropna()
+    lines = lines.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at")).filter("l_linestatus in ('F', 'O')")
+    upto = Window.partitionBy("l_partkey", "l_linestatus").orderBy("path", "at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = lines.select("l_partkey", "l_linestatus", F.struct(F.row_number().over(upto).alias("n"), F.avg("l_discount").over(upto).alias("mean")).alias("s"))
+    mean = lambda s: F.max(F.when(F.col("l_linestatus") == s, F.col("s")))["mean"]  # noqa: E731  that of the last row
+    both = sums.groupBy("l_partkey").agg(mean("F").alias("base"), mean("O").alias("cand"), F.count_if(F.col("l_linestatus") == "F").alias("f"), F.count_if(F.col("l_linestatus") == "O").alias("o")).filter("f > 0 and o > 0 and l_partkey is not null")
     kind = F.when(F.col("cand") > F.col("base"), "gain").when(F.col("cand") < F.col("base"), "loss").otherwise("same")
-    return both.select("l_partkey", (F.round(F.col("cand") - F.col("base"), 6) + F.lit(0.0)).alias("delta"), kind.alias("kind"))
+    scaled = F.round((F.col("cand") - F.col("base")) * 1e6) / 1e6  # half away from zero after scaling, as DuckDB rounds
+    return both.select("l_partkey", (scaled + F.lit(0.0)).alias("delta"), kind.alias("kind"))
 
 
 @query(
