@@ -5,6 +5,9 @@ Strategies are Catalyst's; ``broadcast`` is hinted only for configuration tables
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -183,11 +186,64 @@ def join_derived_key(spark, sf_dir):
 def overlap_argmax(spark, sf_dir):
     """For each target, the row that shares most of its items."""
     events = timeline(spark, sf_dir)
-    targets = events.filter("action = 'purchase'").select("user_id", "item").distinct()
-    rows = events.filter("action = 'view'").select(F.col("user_id").alias("row_user"), "item").distinct()
-    shared = targets.join(rows, "item").groupBy("user_id", "row_user").agg(F.count("*").alias("shared"))
-    best = shared.groupBy("user_id").agg(F.min(F.struct((-F.col("shared")).alias("s"), "row_user")).alias("b"))
-    return best.select("user_id", "b.row_user", (-F.col("b.s")).alias("shared"))
+    sets = lambda action, user: events.filter(F.col("action") == action).groupBy(F.col("user_id").alias(user)).agg(F.array_sort(F.collect_set("item")).alias("items")).filter(F.size("items") > 0)
+    return most_shared(sets("purchase", "user_id"), sets("view", "row_user")).select("user_id", "row_user", "shared")
+
+
+#: Distinct sets of a side that one task of ``most_shared`` compares with as many of the other side.
+SETS = 16_384
+
+
+def most_shared(targets: DataFrame, rows: DataFrame, block: int = SETS) -> DataFrame:
+    """``user_id, row_user, shared``: the row whose set shares most with a target's, of several the smallest.
+
+    ``targets`` has ``user_id, items``, ``rows`` has ``row_user, items``, sorted distinct longs.  Equal sets are
+    compared once.  Blocks of sets meet as a whole, and a task counts over inverted lists: a shared item costs an
+    addition there, in place of a joined row.
+    """
+    wanted = targets.select("items").distinct()
+    kept = rows.groupBy("items").agg(F.min("row_user").alias("row_user"))  # a null only if there is no other
+    m, n = (-(-x.count() // block) or 1 for x in (wanted, kept))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    of = lambda k: F.pmod(F.xxhash64("items"), F.lit(k)).cast("int")
+    left = wanted.select("items", of(m).alias("t"), every(n).alias("r"))
+    right = kept.select("items", "row_user", every(m).alias("t"), of(n).alias("r"))
+    found = left.groupBy("t", "r").cogroup(right.groupBy("t", "r")).applyInArrow(_best_rows, "items array<long>, row_user long, shared long")
+    order = F.struct((-F.col("shared")).alias("s"), F.col("row_user").isNull().alias("null"), "row_user")
+    best = found.groupBy("items").agg(F.min(order).alias("b"))
+    return targets.join(best, "items").select("user_id", "b.row_user", (-F.col("b.s")).alias("shared"))
+
+
+def _best_rows(targets: pa.Table, rows: pa.Table) -> pa.Table:
+    """The first of the rows, by ``row_user`` with nulls last, that share most with each target; targets that share nothing are left out."""
+    rows = rows.take(pc.sort_indices(rows["row_user"], null_placement="at_end"))
+    lists = lambda t: t["items"].combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int64()))
+    asked, held = lists(targets), lists(rows)
+    sizes, flat = pc.list_value_length(held).to_numpy(zero_copy_only=False), held.flatten().to_numpy()
+    order = np.argsort(flat, kind="stable")
+    items, starts = np.unique(flat[order], return_index=True)
+    owners, ends = np.repeat(np.arange(len(held)), sizes)[order], np.append(starts[1:], len(flat))
+    flat = asked.flatten().to_numpy()
+    at = np.searchsorted(items, flat)
+    at[at == len(items)] = 0
+    known = items[at] == flat if len(items) else np.zeros(len(flat), bool)
+    bounds = np.append(0, np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False)))
+    of, best, shared = [], [], []
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        some = at[a:b][known[a:b]]
+        if not len(some):
+            continue
+        meets = np.concatenate([owners[starts[x] : ends[x]] for x in some])
+        if len(meets) * 8 < len(held):
+            who, times = np.unique(meets, return_counts=True)
+        else:
+            who, times = None, np.bincount(meets, minlength=len(held))
+        top = int(times.argmax())
+        of.append(i)
+        best.append(top if who is None else int(who[top]))
+        shared.append(int(times[top]))
+    users = rows["row_user"].combine_chunks() if rows.num_rows else pa.array([], pa.int64())
+    return pa.table({"items": asked.take(pa.array(of, pa.int64())).cast(pa.list_(pa.int64())), "row_user": users.take(pa.array(best, pa.int64())), "shared": pa.array(shared, pa.int64())})
 
 
 @query(
