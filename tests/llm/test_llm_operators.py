@@ -789,3 +789,45 @@ def test_extra_columns_may_have_any_name(spark):
     assert ann.neighbours(vectors, F.col("vec_id") == 3, 2).count() == 2
     pages = docs.select("*", F.col("doc_id").alias("page_id"), F.lit("http://a.b/c").alias("url"), F.col("text").alias("html"))
     assert language_id.identify(pages, docs).count() == 40
+
+
+def test_links_between_components_are_all_found():
+    """Half-similar families in one bucket, whole and in blocks, against all pairs."""
+    rng = random.Random(11)
+    base = list(range(100))
+    sets = []
+    for _ in range(60):
+        one = list(base)
+        for i in rng.sample(range(100), rng.choice((4, 8, 15))):
+            one[i] = rng.randrange(1000, 1100)
+        sets.append(np.unique(np.array(one, np.uint64)))
+    roots = [rng.choice((0, 0, 0, i)) for i in range(60)]
+    close = lambda x, y: line_dedup.jaccard(sets[x], sets[y]) >= 0.8
+    pairs = [(x, y) for x in range(60) for y in range(x) if close(x, y)]
+    same = [(i, 100 + r) for i, r in enumerate(roots)]
+    for blocks in ([0] * 60, [i % 2 for i in range(60)]):
+        met = [p for p in pairs if len(set(blocks)) == 1 or blocks[p[0]] != blocks[p[1]]]
+        for alike in (None, lambda x, y: (x + y) % 3 > 0):
+            found = list(candidates._links_between(list(range(60)), roots, blocks, sets, 0.8, alike))
+            assert all(close(*p) and roots[p[0]] != roots[p[1]] for p in found)
+            wanted = [p for p in met if roots[p[0]] != roots[p[1]] and (alike is None or alike(*p))]
+            assert union_find(found + same) == union_find(wanted + same)
+            assert len(found) < len(set(roots))
+
+
+def test_a_large_bucket_loses_no_link(spark, monkeypatch):
+    """A bucket of several blocks whose ids are in pairs that no leader joins: every pair is linked by default."""
+    monkeypatch.setattr(candidates, "BLOCK", 16)
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        one = [7 * j for j in range(30)] + [1000 * (i + 1) + j for j in range(30)]  # half of each set is common to all
+        rows += [(2 * i, one), (2 * i + 1, [*one[:-1], -1 - i])]
+    rng.shuffle(rows)
+    elements = candidates.stored(spark.createDataFrame(rows, "id long, elements array<long>"))
+    keys = candidates.buckets(spark.createDataFrame([(5, i) for i, _ in rows], "key long, id long"), candidates.keyed_rows)
+    of = {i: np.array(sorted(x)) for i, x in rows}
+    similar = spark.createDataFrame([(a, b) for a in of for b in of if a < b and line_dedup.jaccard(of[a], of[b]) >= 0.8], "a long, b long")
+    verify = lambda pairs: candidates.stored(pairs.join(similar, ["a", "b"]))
+    _, roots = candidates.settle(keys, candidates.paired(keys), verify, lambda ids: ids.join(elements, "id"), 0.8)
+    assert {r.id: r.root for r in roots.collect()} == {2 * i + 1: 2 * i for i in range(120)}

@@ -9,13 +9,14 @@ from each of ``LEADERS`` hash classes, and pairs every id with every leader.  Le
 maxima that are combined before the shuffle, and are stored before they are joined, so that a hot bucket's
 rows can be split.
 
-The links to leaders leave most large buckets in one component.  In the others (``settle``) the ids are
-sorted by a signature of ``SIGNS`` further minima, in another rotation for each bucket, and each id meets
-the ``NEXT`` following ones of other components: the more of a set two ids share, the nearer they stand.
-This is linear too, but can miss links between texts near the threshold.  ``exact=True`` instead joins the
-ids of those buckets by prefixes: two sets of similarity t share one of their first size - ceil(t size) + 1
-elements in order of rarity.  Then ids that share a bucket and are similar always end in one component, at
-a cost that grows with the square of a family of half-similar texts.
+The links to leaders leave most large buckets in one component.  In the others (``settle``) all ids of
+different components meet (``within``): a task holds two blocks of ``BLOCK`` ids of a bucket, counts what
+their sets share over inverted lists and sends on only the links that join components, so that no row is
+made for a pair.  Ids that share a bucket and are similar so always end in one component.  The rows sent
+grow with the size of such a bucket over ``BLOCK``, the additions with the ids outside its main component
+times all.  ``exact=False`` instead sorts the ids by a signature of ``SIGNS`` further minima, in another
+rotation for each bucket, and each id meets the ``NEXT`` following ones of other components: linear, but it
+can miss links between texts near the threshold.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ LEADERS = 4
 SAMPLED, HOT, HOT_SHARE = 256, 8, 200
 #: Minima in the signature by which unsettled ids are sorted, and following ids that each one meets.
 SIGNS, NEXT = 8, 4
+#: Ids of a bucket that ``within`` compares with as many others at a time.
+BLOCK = 256
 #: Rows that a task holds before it sends them, and rows for each range of keys.
 FLUSH, RANGE = 500_000, 1_000_000
 
@@ -157,11 +160,12 @@ def paired(rows: DataFrame, small: int = SMALL, leaders: int = LEADERS) -> DataF
 
 
 def unsettled(rows: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
-    """``(key, id, root)`` of the large buckets whose ids are in several components."""
+    """``(key, id, root, n)`` of the large buckets whose ``n`` ids are in several components; of buckets of the same ids, one."""
     of = stored(rows.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "of")
-    each = of.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = stored(each.filter((F.col("n") > small) & (F.col("low") != F.col("high"))).select("key"), "mixed")
-    out = stored(of.join(mixed.hint("merge"), "key", "left_semi"), "unsettled")
+    each = of.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    alike = each.filter((F.col("n") > small) & (F.col("low") != F.col("high"))).groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key"))
+    mixed = stored(alike.select("key", "n"), "mixed")
+    out = stored(of.join(mixed.hint("merge"), "key"), "unsettled")
     drop(of)
     drop(mixed)
     return out
@@ -189,50 +193,96 @@ def near(left: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def rest(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs of ``unsettled`` ids of different components that can be similar: all of them.
-
-    Of an element's ids, those outside the component that most of them are in are paired with all, so that
-    a large family of linked texts does not meet itself.
+def _links_between(ids: list[int], roots: list[int], blocks: list[int], sets: list[np.ndarray], least: float, alike: Callable[[int, int], bool] | None) -> Iterator[tuple[int, int]]:
+    """Links that join the components ``roots`` of ids: of pairs from different blocks, if there are two."""
+    _, root, times = np.unique(np.array(roots), return_inverse=True, return_counts=True)
+    if len(times) == 1:
+        return
+    main, block, sizes = times.argmax(), np.array(blocks), np.array([len(x) for x in sets])
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    values, elements = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = owners[np.argsort(elements, kind="stable")]
+    starts = np.append(0, np.cumsum(np.bincount(elements, minlength=len(values))))
+    ends, places, two = np.cumsum(sizes), np.arange(len(sets)), block.min() != block.max()
+    parent = list(range(len(times)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x in np.flatnonzero(root != main).tolist():
+        common = np.bincount(np.concatenate([owners[starts[e] : starts[e + 1]] for e in elements[ends[x] - sizes[x] : ends[x]]]), minlength=len(sets))
+        near = (common / (sizes[x] + sizes - common) >= least) & (root != root[x]) & ((root == main) | (places > x))
+        for y in np.flatnonzero(near & (block != block[x]) if two else near).tolist():
+            p, q = find(int(root[x])), find(int(root[y]))
+            if p != q and (alike is None or alike(x, y)):
+                parent[p] = q
+                yield min(ids[x], ids[y]), max(ids[x], ids[y])
+
+
+def within(left: DataFrame, bodies: DataFrame, least: float, sets_of: Callable[[pa.Array], list[np.ndarray]], alike: Callable[[object, object], bool] | None = None) -> DataFrame:
+    """Links that join the components of ``unsettled`` ids wherever two ids of one bucket are similar.
+
+    ``bodies`` has ``id, body``; ``sets_of`` gives the distinct elements of bodies, whose Jaccard similarity must reach
+    ``least``; where that is only a bound, ``alike`` decides on two bodies.
     """
-    left = left.select("id", "root").distinct()
-    elements = sets.select("id", F.explode("elements").alias("element"))
-    elements = stored(elements, "elements")
-    rarity = stored(elements.groupBy("element").agg(F.count("*").alias("df")), "rarity")
-    in_order = Window.partitionBy("id").orderBy("df", "element")  # one id's set
-    placed = elements.join(rarity.filter("df > 1"), "element", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    placed = placed.withColumn("place", F.row_number().over(in_order)).withColumn("size", F.count("*").over(Window.partitionBy("id")))
-    prefix = placed.filter((F.col("df") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1))
-    prefix = stored(prefix.select("id", "element", "place", "size").join(left.hint("merge"), "id"), "prefix")
-    per = prefix.groupBy("element", "root").agg(F.count("*").alias("n"))
-    most = per.groupBy("element").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
-    most = stored(most.select("element", F.col("m.root").alias("main")), "most")
-    both = prefix.join(most, "element")
-    x = both.filter("root != main").select("element", *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "place", "size")])
-    y = both.select("element", *[F.col(c).alias(f"y_{c}") for c in ("id", "root", "place", "size")])
-    # what two sets can still share from these places on must reach the similarity
-    shared = F.lit(1) + F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place")) + F.least("x_place", "y_place") - 1
-    pairs = x.join(y.hint("merge"), "element").filter((F.col("x_root") != F.col("y_root")) & (shared * (1 + least) >= least * (F.col("x_size") + F.col("y_size")) - 1e-6))
-    pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    out = stored(pairs, "rest")
-    for old in (elements, rarity, prefix, most):
-        drop(old)
-    return out
 
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def found() -> pa.RecordBatch:
+            ids, roots, blocks, sets, texts = zip(*held, strict=True)
+            same = None if alike is None else lambda x, y: alike(texts[x].as_py(), texts[y].as_py())
+            out = list(_links_between(ids, roots, blocks, sets, least, same))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-def settle(rows: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], least: float, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                key, low, high, block, ids, roots = (part.column(i).to_pylist() for i in range(6))
+                for *now, n, i, root, elements, body in zip(key, low, high, block, ids, roots, sets_of(part.column(6)), part.column(6), strict=True):
+                    if now != cell and held:
+                        yield found()
+                        held = []
+                    cell = now
+                    held.append((i, root, n, elements, body))
+        if held:
+            yield found()
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    cells = left.select("key", "id", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    cells = cells.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root")
+    rows = cells.join(bodies.hint("merge"), "id").select("key", "low", "high", "block", "id", "root", "body")
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
+
+
+def elements_of(lists: pa.Array) -> list[np.ndarray]:
+    """Arrow lists of longs as numpy rows."""
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def settle(rows: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], least: float, exact: bool = True, joined: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Verified links and ``components`` of ``buckets`` and their ``paired``.
 
     ``verify`` keeps and stores the links of a table of pairs; ``sets`` gives ``(id, elements)``, the distinct
-    elements of the ids of a table, whose Jaccard similarity bounds the verified one.
+    elements of the ids of a table, whose Jaccard similarity bounds the verified one.  ``joined`` is ``within`` of
+    unsettled rows, for operators that have smaller bodies than sets, or more to ask of a pair.
     """
     links = verify(pairs)
     roots = components(links.select("a", "b"))
     left = unsettled(rows, roots)
     if not left.isEmpty():
-        own = sets(left.select("id").distinct())
-        more = rest(left, own, least) if exact else near(left, own)
-        found = verify(more.join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+        if exact:
+            join = joined or (lambda rows: within(rows, sets(rows.select("id").distinct()).select("id", F.col("elements").alias("body")), least, elements_of))
+            more = stored(join(left), "within")
+            found = verify(more)
+        else:
+            more = near(left, sets(left.select("id").distinct()))
+            found = verify(more.join(pairs.hint("merge"), ["a", "b"], "left_anti"))
         drop(more)
         if not found.isEmpty():
             old, roots = roots, components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(found.select("a", "b")))

@@ -51,7 +51,10 @@ def shingles(line: bytes) -> np.ndarray:
     """Distinct shingles of a normalised line, sorted."""
     if len(line) < SHINGLE:
         line = line.ljust(SHINGLE, b"\0")
-    return np.unique(np.ndarray(len(line) - SHINGLE + 1, "<u8", line, strides=(1,)))
+    found = np.sort(np.ndarray(len(line) - SHINGLE + 1, "<u8", line, strides=(1,)))
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
 
 
 def band_keys(lines: list[bytes]) -> np.ndarray:
@@ -123,7 +126,9 @@ def _keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    common = len(np.intersect1d(x, y, assume_unique=True))
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return common / (len(x) + len(y) - common)
 
 
@@ -158,7 +163,7 @@ def _line_table(docs: DataFrame, text: str) -> DataFrame:
     return stored(rows.mapInArrow(_lines, "doc_id long, line_no int, id long, line binary"), "lines")
 
 
-def _links(lines: DataFrame, least: float, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def _links(lines: DataFrame, least: float, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     whole = lines.filter("line is not null").select("id", "line")
     rows = candidates.buckets(whole, _keys, BANDS)
     pairs = candidates.paired(rows)
@@ -168,13 +173,15 @@ def _links(lines: DataFrame, least: float, exact: bool = False) -> tuple[DataFra
     sides = lambda some: some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb")
     verify = lambda some: stored(sides(some).mapInArrow(_verify(least), "a long, b long"), "links")
     sets = lambda ids: texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, elements array<long>")
-    verified, roots = candidates.settle(rows, pairs, verify, sets, least, exact)
+    bodies = lambda ids: texts.join(ids.hint("merge"), "id", "left_semi").select("id", F.col("line").alias("body"))
+    joined = lambda some: candidates.within(some, bodies(some.select("id").distinct()), least, lambda lines: [shingles(x) for x in lines.to_pylist()])
+    verified, roots = candidates.settle(rows, pairs, verify, sets, least, exact, joined)
     for done in (pairs, texts, rows):
         drop(done)
     return verified, roots
 
 
-def line_links(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def line_links(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """Verified ``(a, b)``, hashes of distinct lines whose shingles' Jaccard similarity is ``least`` or more, and their components.
 
     The links join all lines that belong together; they are not all similar pairs of a large group.
@@ -185,7 +192,7 @@ def line_links(docs: DataFrame, text: str = "text", least: float = THRESHOLD, ex
     return out
 
 
-def line_classes(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact: bool = False) -> DataFrame:
+def line_classes(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact: bool = True) -> DataFrame:
     """One row per line that has a word: its place, the place that stays of its class, and ``keep``."""
     lines = _line_table(docs, text)
     links, roots = _links(lines, least, exact)
@@ -203,7 +210,7 @@ def line_classes(docs: DataFrame, text: str = "text", least: float = THRESHOLD,
 
 def deduplicate_lines(docs: DataFrame, text: str = "text", least: float = THRESHOLD) -> DataFrame:
     """``docs`` with the lines removed that are not the first of their class; every row stays."""
-    gone = line_classes(docs, text, least).filter("not keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = line_classes(docs, text, least, False).filter("not keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, numbers: pa.Array) -> pa.Array:
