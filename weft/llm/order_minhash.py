@@ -187,9 +187,13 @@ def _verify(least: float):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, distinct k-mers) of texts; a text without words has one that no other has."""
     for batch in batches:
-        held = [as_signed(np.unique(kmers(_HASHES.of(words_of(t))))) for t in batch.column(1).to_pylist()]
-        held = [x if len(x) else np.zeros(1, np.int64) for x in held]
-        yield pa.RecordBatch.from_arrays([batch.column(0), list_array(held, pa.int64())], ["id", "elements"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), list_array(_grams_of(batch.column(1)), pa.int64())], ["id", "elements"])
+
+
+def _grams_of(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct k-mers of texts."""
+    held = [as_signed(np.unique(kmers(_HASHES.of(words_of(t))))) for t in texts.to_pylist()]
+    return [x if len(x) else np.zeros(1, np.int64) for x in held]
 
 
 def _keyed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -198,7 +202,7 @@ def _keyed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield lists.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
 
 
-def links(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, first document with the same words), verified links between first documents, and their components.
 
     The links join all documents that belong together; they are not all similar pairs of a large group.
@@ -221,13 +225,16 @@ def links(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact:
     sides = lambda some: some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
     verify = lambda some: stored(sides(some).mapInArrow(_verify(least), "a long, b long, similarity double"), "links")
     sets = lambda ids: texts.select("id", "text").join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, elements array<long>")
-    verified, roots = candidates.settle(rows_of, pairs, verify, sets, least, exact)
+    bodies = lambda ids: texts.join(ids.hint("merge"), "id", "left_semi").select("id", F.col("text").alias("body"))
+    alike = lambda x, y: similarity(_HASHES.of(words_of(x)), _HASHES.of(words_of(y)), least=least) >= least
+    joined = lambda some: candidates.within(some, bodies(some.select("id").distinct()), least, _grams_of, alike)
+    verified, roots = candidates.settle(rows_of, pairs, verify, sets, least, exact, joined)
     for done in (pairs, texts, wanted, rows_of):
         drop(done)
     return copies.select("id", "first"), verified, roots
 
 
-def classes(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact: bool = False) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact: bool = True) -> DataFrame:
     """One row per doc_id: ``doc_id, class_id``, the smallest doc_id of the class."""
     copies, verified, roots = links(docs, text, least, exact)
     drop(verified)
@@ -238,5 +245,5 @@ def classes(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact
 def deduplicate(docs: DataFrame, text: str = "text", least: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that are not the first of their class; rows without an id stay."""
     (key,) = unused(docs, "id")
-    gone = classes(docs, text, least).filter("doc_id != class_id").select(F.col("doc_id").alias(key))
+    gone = classes(docs, text, least, False).filter("doc_id != class_id").select(F.col("doc_id").alias(key))
     return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left_anti")
