@@ -831,3 +831,15 @@ def test_a_large_bucket_loses_no_link(spark, monkeypatch):
     verify = lambda pairs: candidates.stored(pairs.join(similar, ["a", "b"]))
     _, roots = candidates.settle(keys, candidates.paired(keys), verify, lambda ids: ids.join(elements, "id"), 0.8)
     assert {r.id: r.root for r in roots.collect()} == {2 * i + 1: 2 * i for i in range(120)}
+
+
+def test_pipeline_stages_compare_large_buckets_whole(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked, settle = [], candidates.settle
+    monkeypatch.setattr(candidates, "settle", lambda *a: asked.append(a[5]) or settle(*a))
+    docs = documents(spark, [(i, f"one line of text that all share\nand another number {i}") for i in range(4)])
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("line dedup", "near duplicates"):
+            assert stage(spark, docs, SF_DIR).count() == 4 or name == "near duplicates"
+    assert asked == [True, True]

@@ -208,9 +208,9 @@ def line_classes(docs: DataFrame, text: str = "text", least: float = THRESHOLD,
     return out.withColumn("keep", (F.col("class_doc_id") == F.col("doc_id")) & (F.col("class_line_no") == F.col("line_no")))
 
 
-def deduplicate_lines(docs: DataFrame, text: str = "text", least: float = THRESHOLD) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact: bool = True) -> DataFrame:
     """``docs`` with the lines removed that are not the first of their class; every row stays."""
-    gone = line_classes(docs, text, least, False).filter("not keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = line_classes(docs, text, least, exact).filter("not keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, numbers: pa.Array) -> pa.Array:

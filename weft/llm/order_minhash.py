@@ -242,8 +242,8 @@ def classes(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact
     return of.select(F.col("id").alias("doc_id"), F.coalesce("root", "first").alias("class_id"))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", least: float = THRESHOLD) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", least: float = THRESHOLD, exact: bool = True) -> DataFrame:
     """``docs`` without the documents that are not the first of their class; rows without an id stay."""
     (key,) = unused(docs, "id")
-    gone = classes(docs, text, least, False).filter("doc_id != class_id").select(F.col("doc_id").alias(key))
+    gone = classes(docs, text, least, exact).filter("doc_id != class_id").select(F.col("doc_id").alias(key))
     return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left_anti")
