@@ -833,6 +833,44 @@ def test_a_large_bucket_loses_no_link(spark, monkeypatch):
     assert {r.id: r.root for r in roots.collect()} == {2 * i + 1: 2 * i for i in range(120)}
 
 
+def test_rows_for_a_large_bucket_are_linear_and_lose_no_link(spark, monkeypatch, tmp_path):
+    """Twice the ids of an unsettled bucket are twice the rows that tasks read, and all links are found over parts and pieces."""
+    for name, value in (("BLOCK", 16), ("PART", 40), ("PARTS", 3)):
+        monkeypatch.setattr(candidates, name, value, raising=False)
+    rng, log = random.Random(8), str(tmp_path / "rows")
+
+    def seen(lists):
+        with open(log, "a") as out:
+            out.write(f"{len(lists)}\n")
+        return candidates.elements_of(lists)
+
+    for n, mains in ((160, 40), (320, 80), (320, 0), (90, 80)):
+        rows = [(i, sorted(set(range(100)) - set(rng.sample(range(100), rng.choice((2, 8, 12)))) | set(rng.sample(range(1000, 9999), 5)))) for i in range(n)]
+        rng.shuffle(rows)
+        root = {i: 0 if i < mains else i for i, _ in rows}
+        left = candidates.stored(spark.createDataFrame([(5, i, root[i], n) for i, _ in rows], "key long, id long, root long, n long"))
+        bodies = candidates.stored(spark.createDataFrame(rows, "id long, body array<long>"))
+        open(log, "w").close()
+        found = [tuple(r) for r in candidates.within(left, bodies, 0.8, seen).collect()]
+        sets = {i: np.array(x) for i, x in rows}
+        close = [(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and line_dedup.jaccard(sets[a], sets[b]) >= 0.8]
+        same = list(root.items())
+        assert close and set(found) <= set(close)
+        assert union_find(found + same) == union_find(close + same)
+        once = max(mains, 1)  # the largest component
+        assert sum(int(x) for x in open(log)) == once + 3 * (n - once)
+
+
+def test_pieces_of_a_part_wait_in_a_file(monkeypatch):
+    monkeypatch.setattr(candidates, "SPOOL", 1)
+    held = candidates._Pieces(0, 1, 0.8, lambda x, y: x[0] == y[0])
+    body = np.arange(10)
+    rows = [(i, i, body if i < 4 else body + 99 * i, "ab"[i % 2]) for i in range(6)]
+    for at in range(0, 6, 2):
+        held.add(rows[at : at + 2], -1)
+    assert sorted(held.links) == [(0, 2), (1, 3)]
+
+
 def test_pipeline_stages_compare_large_buckets_whole(spark, monkeypatch):
     import corpus_pipeline
 

@@ -10,17 +10,21 @@ maxima that are combined before the shuffle, and are stored before they are join
 rows can be split.
 
 The links to leaders leave most large buckets in one component.  In the others (``settle``) all ids of
-different components meet (``within``): a task holds two blocks of ``BLOCK`` ids of a bucket, counts what
-their sets share over inverted lists and sends on only the links that join components, so that no row is
-made for a pair.  Ids that share a bucket and are similar so always end in one component.  The rows sent
-grow with the size of such a bucket over ``BLOCK``, the additions with the ids outside its main component
-times all.  ``exact=False`` instead sorts the ids by a signature of ``SIGNS`` further minima, in another
+different components meet (``within``).  A bucket has a part for each ``PART`` ids, and at most ``PARTS``: ids of
+its main component go to one part, the others to all, so that a bucket's rows are at most ``PARTS`` times its
+ids, however many they are.  A part's task compares two pieces of ``BLOCK`` ids at a time, counts what their
+sets share over inverted lists and sends on only the links that join components, so that no row is made
+for a pair; it holds two pieces, and keeps the other ones in a file of its own beyond ``SPOOL`` bytes.  Ids that
+share a bucket and are similar so always end in one component.  The additions grow with the ids outside
+the main component times all.  ``exact=False`` instead sorts the ids by a signature of ``SIGNS`` further minima, in another
 rotation for each bucket, and each id meets the ``NEXT`` following ones of other components: linear, but it
 can miss links between texts near the threshold.
 """
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,8 +44,10 @@ LEADERS = 4
 SAMPLED, HOT, HOT_SHARE = 256, 8, 200
 #: Minima in the signature by which unsettled ids are sorted, and following ids that each one meets.
 SIGNS, NEXT = 8, 4
-#: Ids of a bucket that ``within`` compares with as many others at a time.
-BLOCK = 256
+#: Ids of a bucket that ``within`` compares with as many others at a time; ids for each part of a bucket, and parts at most.
+BLOCK, PART, PARTS = 256, 1024, 8
+#: Bytes of earlier pieces that a task keeps in memory.
+SPOOL = 1 << 25
 #: Rows that a task holds before it sends them, and rows for each range of keys.
 FLUSH, RANGE = 500_000, 1_000_000
 
@@ -221,42 +227,99 @@ def _links_between(ids: list[int], roots: list[int], blocks: list[int], sets: li
                 yield min(ids[x], ids[y]), max(ids[x], ids[y])
 
 
+class _Pieces:
+    """The rows of one part of a bucket, compared ``block`` at a time; earlier pieces lie in a file of the task beyond ``SPOOL`` bytes.
+
+    The ids outside the bucket's main component come first, the same in each part, so that a part leaves pairs of
+    pieces with no other id to the part that the pieces' numbers add up to.
+    """
+
+    def __init__(self, part: int, parts: int, least: float, alike: Callable[[object, object], bool] | None):
+        self.part, self.parts, self.least, self.alike = part, parts, least, alike
+        self.file, self.starts, self.pure = tempfile.SpooledTemporaryFile(SPOOL), [], []
+        self.parent: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def _find(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = x = self.parent[up]
+        return x
+
+    def _meet(self, ids: list[int], roots: list[int], blocks: list[int], sets: list[np.ndarray], texts: list) -> None:
+        now, of = [self._find(r) for r in roots], dict(zip(ids, roots, strict=True))
+        same = None if self.alike is None else lambda x, y: self.alike(texts[x], texts[y])
+        for a, b in _links_between(ids, now, blocks, sets, self.least, same):
+            x, y = self._find(of[a]), self._find(of[b])
+            self.parent[max(x, y)] = min(x, y)
+            self.links.append((a, b))
+
+    def add(self, rows: list[tuple], main: int) -> None:
+        """Compare a piece's rows (id, root, elements, body) with each other and with all earlier ones."""
+        if not rows:
+            return
+        n, ids, roots, sets, texts = len(self.starts), *map(list, zip(*rows, strict=True))
+        pure = main not in roots
+        mine = lambda i: not (pure and self.pure[i]) or (i + n) % self.parts == self.part
+        for i, start in enumerate(self.starts):
+            if mine(i):
+                self.file.seek(start)
+                held = pickle.load(self.file)
+                self._meet(*(x + y for x, y in zip(held[:2], (ids, roots), strict=True)), [0] * len(held[0]) + [1] * len(ids), held[2] + sets, held[3] + texts)
+        if roots[0] == main:  # ids of the main component only: nothing later is to meet them
+            return
+        self.starts.append(self.file.seek(0, 2))
+        self.pure.append(pure)
+        if mine(n):
+            self._meet(ids, roots, [0] * len(ids), sets, texts)
+        pickle.dump((ids, roots, sets, texts), self.file, pickle.HIGHEST_PROTOCOL)
+
+
 def within(left: DataFrame, bodies: DataFrame, least: float, sets_of: Callable[[pa.Array], list[np.ndarray]], alike: Callable[[object, object], bool] | None = None) -> DataFrame:
     """Links that join the components of ``unsettled`` ids wherever two ids of one bucket are similar.
 
     ``bodies`` has ``id, body``; ``sets_of`` gives the distinct elements of bodies, whose Jaccard similarity must reach
     ``least``; where that is only a bound, ``alike`` decides on two bodies.
     """
+    block = BLOCK
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
+        cell, pieces, held, main = None, None, [], None
 
         def found() -> pa.RecordBatch:
-            ids, roots, blocks, sets, texts = zip(*held, strict=True)
-            same = None if alike is None else lambda x, y: alike(texts[x].as_py(), texts[y].as_py())
-            out = list(_links_between(ids, roots, blocks, sets, least, same))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            pieces.add(held, main)
+            pieces.file.close()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in pieces.links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                key, low, high, block, ids, roots = (part.column(i).to_pylist() for i in range(6))
-                for *now, n, i, root, elements, body in zip(key, low, high, block, ids, roots, sets_of(part.column(6)), part.column(6), strict=True):
-                    if now != cell and held:
-                        yield found()
+            for at in range(0, batch.num_rows, block):
+                some = batch.slice(at, block)
+                keys, parts, counts, mains, ids, roots = (some.column(i).to_pylist() for i in range(6))
+                texts = some.column(6).to_pylist() if alike else [None] * len(ids)
+                for key, part, count, top, *row in zip(keys, parts, counts, mains, ids, roots, sets_of(some.column(6)), texts, strict=True):
+                    if (key, part) != cell:
+                        if pieces:
+                            yield found()
+                        cell, pieces, held, main = (key, part), _Pieces(part, count, least, alike), [], top
+                    held.append(row)
+                    if len(held) == block:
+                        pieces.add(held, main)
                         held = []
-                    cell = now
-                    held.append((i, root, n, elements, body))
-        if held:
+        if pieces:
             yield found()
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    cells = left.select("key", "id", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = cells.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root")
-    rows = cells.join(bodies.hint("merge"), "id").select("key", "low", "high", "block", "id", "root", "body")
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
+    sizes = left.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mains = stored(sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("main")), "mains")
+    parts = F.least(F.ceil(F.col("n") / PART), F.lit(PARTS)).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = left.join(mains.hint("merge"), "key").withColumn("parts", parts)
+    sent = F.when(F.col("root") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = dealt.select("key", F.explode(sent).alias("part"), "parts", "main", "id", "root")
+    rows = cells.join(bodies.hint("merge"), "id").select("key", "part", "parts", "main", "id", "root", "body")
+    in_order = rows.repartition("key", "part").sortWithinPartitions("key", "part", F.col("root") == F.col("main"), "id")
+    out = stored(in_order.mapInArrow(run, "a long, b long").distinct(), "within")
+    drop(mains)
+    return out
 
 
 def elements_of(lists: pa.Array) -> list[np.ndarray]:
@@ -278,7 +341,7 @@ def settle(rows: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], Data
     if not left.isEmpty():
         if exact:
             join = joined or (lambda rows: within(rows, sets(rows.select("id").distinct()).select("id", F.col("elements").alias("body")), least, elements_of))
-            more = stored(join(left), "within")
+            more = join(left)
             found = verify(more)
         else:
             more = near(left, sets(left.select("id").distinct()))
